@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +51,18 @@ def packed(df: DataFrame) -> DataFrame:
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
 
 
+def sliced(batches: Iterable[pa.RecordBatch], column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of whole rows with about ``limit`` bytes in a string column, so that memory stays bounded."""
+    for batch in batches:
+        sizes = np.cumsum(np.nan_to_num(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(np.float64)))
+        start = 0
+        while start < batch.num_rows:
+            base = sizes[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(sizes, base + limit, "right")))
+            yield batch.slice(start, end - start)
+            start = end
+
+
 def runs(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Tables of whole runs of equal keys, many runs each, from batches sorted by key (never null)."""
     held: list[pa.RecordBatch] = []

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, lines, mixing, packing
+from . import exact, jaccard, lines, mixing, packing
 from .common import table
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_copies(table(spark, sf_dir, "documents"))
 
@@ -24,9 +28,10 @@ def op10_line_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.clean_lines(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_exact_dedup, op5_cube_mixing, op9_best_fit_packing, op10_line_cleaning)}
+QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op4_exact_dedup, op5_cube_mixing, op9_best_fit_packing, op10_line_cleaning)}
 
 ORACLES = {
+    "op2_ngram_jaccard_join": jaccard.ORACLE,
     "op4_exact_dedup": exact.ORACLE,
     "op10_line_cleaning": lines.oracle(),
 }
