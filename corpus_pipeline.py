@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact, lines, mixing, packing
+from tidemark.llm import exact, jaccard, lines, mixing, packing
 from tidemark.llm.common import stored, table
 
 
@@ -20,8 +20,6 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group that n-gram Jaccard pairs connect, the document with the smallest id stays."""
-    from tidemark.llm import jaccard
-
     return jaccard.drop_near_copies(docs)
 
 
