@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, jaccard, lines, mixing, packing
+from . import exact, jaccard, lines, mixing, packing, repeats
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_copies(table(spark, sf_dir, "documents"))
 
@@ -28,10 +32,11 @@ def op10_line_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.clean_lines(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op4_exact_dedup, op5_cube_mixing, op9_best_fit_packing, op10_line_cleaning)}
+QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op3_suffix_array_dedup, op4_exact_dedup, op5_cube_mixing, op9_best_fit_packing, op10_line_cleaning)}
 
 ORACLES = {
     "op2_ngram_jaccard_join": jaccard.ORACLE,
+    "op3_suffix_array_dedup": repeats.ORACLE,
     "op4_exact_dedup": exact.ORACLE,
     "op10_line_cleaning": lines.oracle(),
 }
