@@ -3,11 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact, jaccard, lines, mixing, packing, repeats
+from . import exact, jaccard, lines, mixing, packing, preference, repeats
 from .common import table
 
 
+def op1_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masks as text, "start-end" joined by commas, so that both engines give them alike."""
+    pairs = preference.format_pairs(preference.with_stale_answer(table(spark, sf_dir, "conversations")))
+    mask = lambda c: F.array_join(F.transform(c, lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"))), ",").alias(c)
+    return pairs.select(F.col("id").alias("conv_id"), "prompt_turns", "prompt", "chosen", mask("chosen_mask"), "rejected", mask("rejected_mask"))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar(table(spark, sf_dir, "documents"))
 
@@ -32,9 +40,10 @@ def op10_line_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.clean_lines(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op3_suffix_array_dedup, op4_exact_dedup, op5_cube_mixing, op9_best_fit_packing, op10_line_cleaning)}
+QUERIES = {f.__name__: f for f in (op1_preference_format, op2_ngram_jaccard_join, op3_suffix_array_dedup, op4_exact_dedup, op5_cube_mixing, op9_best_fit_packing, op10_line_cleaning)}
 
 ORACLES = {
+    "op1_preference_format": preference.ORACLE,
     "op2_ngram_jaccard_join": jaccard.ORACLE,
     "op3_suffix_array_dedup": repeats.ORACLE,
     "op4_exact_dedup": exact.ORACLE,

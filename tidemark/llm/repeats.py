@@ -36,7 +36,7 @@ from .tokens import NEVER, grams, leaves, raw, sliding, words
 THRESHOLD = 50
 SEED = 13
 #: Positions that one bucket sorts.
-BUCKET = 1_000_000
+BUCKET = 250_000
 NO_ID = (1 << 63) - 1
 WORD_RUNS = "regexp_count(lower(text), r'[a-z0-9\\x{80}-\\x{10FFFF}]+')"
 
