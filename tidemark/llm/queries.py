@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, jaccard, lines, mixing, packing, preference, repeats
+from . import captures, exact, jaccard, lines, mixing, packing, preference, repeats
 from .common import table
 
 
@@ -32,6 +32,10 @@ def op5_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "n_chars")
 
 
+def op6_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return captures.index_and_look_up(table(spark, sf_dir, "pages"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -40,12 +44,13 @@ def op10_line_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.clean_lines(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_preference_format, op2_ngram_jaccard_join, op3_suffix_array_dedup, op4_exact_dedup, op5_cube_mixing, op9_best_fit_packing, op10_line_cleaning)}
+QUERIES = {f.__name__: f for f in (op1_preference_format, op2_ngram_jaccard_join, op3_suffix_array_dedup, op4_exact_dedup, op5_cube_mixing, op6_capture_index, op9_best_fit_packing, op10_line_cleaning)}
 
 ORACLES = {
     "op1_preference_format": preference.ORACLE,
     "op2_ngram_jaccard_join": jaccard.ORACLE,
     "op3_suffix_array_dedup": repeats.ORACLE,
     "op4_exact_dedup": exact.ORACLE,
+    "op6_capture_index": captures.oracle(),
     "op10_line_cleaning": lines.oracle(),
 }
