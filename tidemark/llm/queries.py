@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import captures, exact, jaccard, lines, mixing, packing, preference, repeats
+from . import captures, exact, jaccard, licenses, lines, mixing, packing, preference, quality, repeats
 from .common import table
 
 
@@ -36,6 +36,15 @@ def op6_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captures.index_and_look_up(table(spark, sf_dir, "pages"))
 
 
+def op7_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op8_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.classify(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -44,7 +53,7 @@ def op10_line_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.clean_lines(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_preference_format, op2_ngram_jaccard_join, op3_suffix_array_dedup, op4_exact_dedup, op5_cube_mixing, op6_capture_index, op9_best_fit_packing, op10_line_cleaning)}
+QUERIES = {f.__name__: f for f in (op1_preference_format, op2_ngram_jaccard_join, op3_suffix_array_dedup, op4_exact_dedup, op5_cube_mixing, op6_capture_index, op7_license_templates, op8_quality_cnn, op9_best_fit_packing, op10_line_cleaning)}
 
 ORACLES = {
     "op1_preference_format": preference.ORACLE,
@@ -52,5 +61,6 @@ ORACLES = {
     "op3_suffix_array_dedup": repeats.ORACLE,
     "op4_exact_dedup": exact.ORACLE,
     "op6_capture_index": captures.oracle(),
+    "op7_license_templates": licenses.oracle(),
     "op10_line_cleaning": lines.oracle(),
 }
