@@ -45,6 +45,8 @@ _STEPS = (
     ("r", "regexp_replace(regexp_replace(u, '^[a-z][a-z0-9+.-]*://', ''), '#.*$', '')"),
     ("h", "regexp_extract(r, '^([^/?]*)', 1)"),
     ("d", "regexp_replace(regexp_replace(regexp_replace(h, '^[^@]*@', ''), ':(80|443)$', ''), '^www[0-9]*[.]', '')"),
+    ("o", "regexp_extract(d, '(:[0-9]*)$', 1)"),
+    ("b", "regexp_replace(d, ':[0-9]*$', '')"),
     ("p", "regexp_replace(regexp_extract(r, '^[^/?]*([^?]*)', 1), '/+$', '')"),
     ("q", "regexp_extract(r, '^[^?]*[?](.*)$', 1)"),
 )
@@ -57,7 +59,7 @@ def url_key(pages: DataFrame, url: str = "url") -> DataFrame:
         df = df.withColumn(f"__{name}", F.expr(_own(sql.format(url=f"`{url}`", g=""))))
         names.append(f"__{name}")
     key = F.concat(
-        F.array_join(F.reverse(F.split("__d", "[.]")), ","), F.lit(")"), F.when(F.col("__p") == "", F.lit("/")).otherwise(F.col("__p")),
+        F.array_join(F.reverse(F.split("__b", "[.]")), ","), F.col("__o"), F.lit(")"), F.when(F.col("__p") == "", F.lit("/")).otherwise(F.col("__p")),
         F.when(F.col("__q") == "", F.lit("")).otherwise(F.concat(F.lit("?"), F.array_join(F.array_sort(F.split("__q", "&")), "&"))),
     )
     return df.withColumn("url_key", F.when(F.col("__u") != "", key)).drop(*names)
@@ -234,7 +236,7 @@ def oracle() -> str:
     for name, sql in _STEPS[1:]:
         chain = f"SELECT *, {sql} AS {name} FROM ({chain})"
     key = (
-        "array_to_string(list_reverse(string_split(d, '.')), ',') || ')' || CASE WHEN p = '' THEN '/' ELSE p END"
+        "array_to_string(list_reverse(string_split(b, '.')), ',') || o || ')' || CASE WHEN p = '' THEN '/' ELSE p END"
         " || CASE WHEN q = '' THEN '' ELSE '?' || array_to_string(list_sort(string_split(q, '&')), '&') END"
     )
     return (

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import sliced
 from .tokens import raw
 
-TRAIN_ROWS = 2500
+TRAIN_ROWS = 4000
 KEEP = 0.3
 CHUNK, OVERLAP = 256, 32
 WIDTH, STRIDE = 8, 4
@@ -75,11 +75,11 @@ class Network:
     def combine(top: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Mean and maximum of the chunks' features by document; doc is ascending."""
         present, first = np.unique(doc, return_index=True)
-        total, most = np.zeros((n, FILTERS), np.float32), np.zeros((n, FILTERS), np.float32)
+        total, most = np.zeros((n, FILTERS), top.dtype), np.zeros((n, FILTERS), top.dtype)
         if len(present):
             total[present] = np.add.reduceat(top, first)
             most[present] = np.maximum.reduceat(top, first)
-        count = np.maximum(np.bincount(doc, minlength=n), 1).astype(np.float32)[:, None]
+        count = np.maximum(np.bincount(doc, minlength=n), 1).astype(top.dtype)[:, None]
         return np.concatenate([total / count, most], 1), count
 
     def scores(self, data: np.ndarray, offs: np.ndarray, tile: int = 512) -> np.ndarray:
