@@ -240,7 +240,7 @@ class ParquetStore(EventStore):
         self._commit(m | {"tags": self._write(tag_table(self._live(m), skip, longer), "tags", ["k", "v", "created_at"])})
 
     def keep_recent(self, keep: int = 100) -> None:
-        """Drops what is older than each author's newest ``keep`` events."""
+        """Drops what is older than each author's event number ``keep`` + 1."""
         m = self._manifest()
         kept = writes.retain(self._live(m), keep)
         self._commit(m | {"regular": [self._write(kept.where(kind_class() == REGULAR), "regular", ["created_at", "id"])], "moved": self._write(kept.where(kind_class() != REGULAR), "moved", ["created_at", "id"]), "deleted": []})

@@ -29,7 +29,7 @@ def publish_stream(events: DataFrame, store: EventStore, checkpoint: str, every:
 
 
 def unique_stream(events: DataFrame, delay: str | None = None) -> DataFrame:
-    """Each id once; with a delay, state for ids older than that is let go."""
+    """Each id once; with a delay, state for ids older than that is let go (and events of time 0 come too late)."""
     if delay is None:
         return events.dropDuplicates(["id"])
     return events.withColumn("at", F.timestamp_seconds("created_at")).withWatermark("at", delay).dropDuplicatesWithinWatermark(["id"]).drop("at")
