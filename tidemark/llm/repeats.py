@@ -313,8 +313,9 @@ def repeated_spans(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
 
     # The further documents of a text are copies from end to end.
     order = Window.partitionBy("text_key").orderBy("id")
-    further = rows.join(bounded_broadcast(copied, 16), "text_key", "left_semi").select("id", "text_key", F.expr(WORD_RUNS).cast("bigint").alias("n")).where(f"n >= {threshold}")
-    further = further.withColumn("k", F.row_number().over(order)).where("k > 1")
+    further = rows.join(bounded_broadcast(copied, 16), "text_key", "left_semi").select("id", "text_key", F.expr(WORD_RUNS).cast("bigint").alias("n"))
+    # Words are counted above the join: a filter on n before the window would be pushed below it, to all texts.
+    further = further.withColumn("k", F.row_number().over(order)).where(f"k > 1 AND n >= {threshold}")
     whole = further.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), F.lit(0).cast("bigint").alias("start_word"), F.col("n").alias("end_word"), F.lit(True).alias("is_copy"))
     return spans.unionByName(whole)
 
