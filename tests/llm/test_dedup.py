@@ -42,9 +42,14 @@ def test_exact_same_length_and_prefix(docs_of):
     assert {r.doc_id for r in exact.drop_exact_copies(docs_of([(1, a, "s"), (2, b, "s"), (3, b, "s")])).collect()} == {1, 2}
 
 
-def test_exact_beyond_the_broadcast_bound(nasty, monkeypatch):
-    monkeypatch.setattr(exact, "bounded_broadcast", lambda df, size: df)
-    assert exact.exact_copies(nasty).count() == 8
+def test_exact_beyond_the_broadcast_bound(nasty, none, monkeypatch):
+    small, kept = exact.exact_copies(nasty).count(), exact.drop_exact_copies(nasty).select("doc_id", "text").collect()
+    monkeypatch.setattr(exact, "fits", lambda df, size: False)
+    assert exact.exact_copies(nasty).count() == small == 8
+    assert sorted(map(repr, exact.drop_exact_copies(nasty).select("doc_id", "text").collect())) == sorted(map(repr, kept))
+    assert exact.drop_exact_copies(none).count() == 0
+    plan = exact.drop_exact_copies(nasty)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 2  # the rows once, and the keys unless Spark finds them small
 
 
 def test_exact_empty(none):

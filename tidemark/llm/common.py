@@ -41,9 +41,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fits(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether a stored table's rows, counted from Parquet footers, stay within what may be broadcast."""
+    return df.count() * row_bytes <= limit
+
+
 def bounded_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """df with a broadcast hint if its rows, counted from Parquet footers, stay within the limit; else df as it is."""
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+    """df with a broadcast hint if it fits; else df as it is."""
+    return F.broadcast(df) if fits(df, row_bytes, limit) else df
 
 
 def packed(df: DataFrame) -> DataFrame:

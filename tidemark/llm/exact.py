@@ -15,9 +15,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, packed, stored
+from .common import bounded_broadcast, fits, packed, stored
 
 PREFIX_CHARS = 128
+#: What a broadcast key takes.
+KEY_BYTES = 24
 
 
 def _suspects(rows: DataFrame, prefix_chars: int) -> DataFrame:
@@ -41,7 +43,11 @@ def exact_copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id", pr
     """A row for each document whose text occurs again: its id, the id that stays for the text, and how many rows have it."""
     rows = _keyed(docs, text, id_col, prefix_chars)
     keys = _suspects(rows, prefix_chars)
-    full = rows.join(bounded_broadcast(keys, 24), ["size", "head"], "left_semi").select("id", "size", F.unhex(F.sha2("text", 256)).alias("full"))
+    hashed = F.unhex(F.sha2("text", 256)).alias("full")
+    if fits(keys, KEY_BYTES):
+        full = rows.join(F.broadcast(keys), ["size", "head"], "left_semi").select("id", "size", hashed)
+    else:  # the hash moves in place of the text
+        full = rows.where("text is not null").select("id", "size", "head", hashed).join(keys, ["size", "head"], "left_semi")
     same = Window.partitionBy("size", "full")
     return (
         full.select(F.col("id").alias(id_col), F.min("id").over(same).alias("kept_id"), F.count(F.lit(1)).over(same).alias("copies"))
@@ -52,13 +58,19 @@ def exact_copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id", pr
 def drop_exact_copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id", prefix_chars: int = PREFIX_CHARS) -> DataFrame:
     """The documents with one row for each text."""
     rows = _keyed(docs, text, id_col, prefix_chars)
-    keys = bounded_broadcast(_suspects(rows, prefix_chars), 24)
-    alone = rows.join(keys, ["size", "head"], "left_anti").select("row")
-    # Only ids travel with the hash to find the copies; the texts of suspects follow once, to settle repeated rows.
-    suspects = rows.join(keys, ["size", "head"], "left_semi").select("row", "id", "size", F.unhex(F.sha2("text", 256)).alias("full"))
-    first = Window.partitionBy("size", "full").orderBy(F.col("id").asc_nulls_last())
-    one = suspects.withColumn("n", F.row_number().over(first)).where("n = 1").select("row")
-    return alone.unionByName(one).select("row.*")
+    keys = _suspects(rows, prefix_chars)
+    hashed = F.unhex(F.sha2("text", 256))
+    by_id = F.col("id").asc_nulls_last()
+    if fits(keys, KEY_BYTES):
+        alone = rows.join(F.broadcast(keys), ["size", "head"], "left_anti").select("row")
+        suspects = rows.join(F.broadcast(keys), ["size", "head"], "left_semi").select("row", "id", "size", hashed.alias("full"))
+        one = suspects.withColumn("n", F.row_number().over(Window.partitionBy("size", "full").orderBy(by_id)))
+    else:  # one shuffle by (size, head) serves the join and the window; only suspects are hashed
+        alone = rows.where("text is null").select("row")
+        marked = rows.where("text is not null").join(keys.withColumn("suspect", F.lit(True)), ["size", "head"], "left")
+        marked = marked.withColumn("full", F.when(F.col("suspect"), hashed))
+        one = marked.withColumn("n", F.row_number().over(Window.partitionBy("size", "head", "full").orderBy(by_id)))
+    return alone.unionByName(one.where("n = 1").select("row")).select("row.*")
 
 
 ORACLE = """

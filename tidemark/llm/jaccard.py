@@ -345,12 +345,11 @@ def drop_near_copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id"
     one = grouped.groupBy("root", "id", "text_key").count()
     order = Window.partitionBy("root").orderBy(F.col("id").asc_nulls_last(), "text_key")
     ruled = stored(one.withColumn("k", F.row_number().over(order)).where("k > 1 OR count > 1").select(F.col("id").alias("id_"), F.col("text_key").alias("key_"), (F.col("k") == 1).alias("first")), "ruled")
-    ruled = bounded_broadcast(ruled, 32)
     rows = packed(docs).select("row", F.col(f"row.`{id_col}`").cast("bigint").alias("id"), F.xxhash64(f"row.`{text}`").alias("text_key"))
     same = F.col("id").eqNullSafe(F.col("id_")) & (F.col("text_key") == F.col("key_"))
-    free = rows.join(ruled, same, "left_anti").select("row")
+    free = rows.join(bounded_broadcast(ruled, 32), same, "left_anti").select("row")
     again = Window.partitionBy("id", "text_key").orderBy("text_key")
-    once = rows.join(ruled.where("first"), same, "left_semi").withColumn("k", F.row_number().over(again)).where("k = 1").select("row")
+    once = rows.join(bounded_broadcast(ruled.where("first"), 32), same, "left_semi").withColumn("k", F.row_number().over(again)).where("k = 1").select("row")
     return free.unionByName(once).select("row.*")
 
 
