@@ -18,12 +18,12 @@ from .operators import sync
 from .plans.filters import Filter, parse_envelope
 from .plans.query import Limits
 from .sources.formats import detect, from_lines, read_jdbc, to_lines
-from .sources.store import EventStore, FrameStore, NullStore, ParquetStore, jsonl_store
+from .sources.store import Store, FrameStore, NullStore, ParquetStore, jsonl_store
 
 FAILED = 123
 
 
-def open_store(spark: SparkSession, path: str, kind: str | None = None) -> EventStore:
+def open_store(spark: SparkSession, path: str, kind: str | None = None) -> Store:
     limits = Limits(1_000_000)
     match kind or detect(path):
         case "snapshots":
@@ -39,7 +39,7 @@ def open_store(spark: SparkSession, path: str, kind: str | None = None) -> Event
     raise SystemExit(f"can't tell what {path} is; give --type")
 
 
-def run(spark: SparkSession, store: EventStore, command: str | None, lines: Iterable[str], out=None, err=None) -> int:
+def run(spark: SparkSession, store: Store, command: str | None, lines: Iterable[str], out=None, err=None) -> int:
     out, err = out or sys.stdout, err or sys.stderr
     failed = False
 
@@ -85,7 +85,7 @@ def run(spark: SparkSession, store: EventStore, command: str | None, lines: Iter
     return FAILED if failed else 0
 
 
-def reconcile(spark: SparkSession, store: EventStore, f: str, items: Iterable[str], out=None) -> int:
+def reconcile(spark: SparkSession, store: Store, f: str, items: Iterable[str], out=None) -> int:
     """Prints what the other side, given as lines ``time id``, lacks (have) and what it has more (need)."""
     out = out or sys.stdout
     rows = [(int(a), b) for a, b in (line.split() for line in items if line.strip())]

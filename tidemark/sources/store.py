@@ -31,13 +31,13 @@ class Conflict(RuntimeError):
     """Another writer made the version first."""
 
 
-class EventStore:
+class Store:
     """Queries over ``events()``; subclasses say where events are and what writing does."""
 
     def __init__(self, spark: SparkSession, modes: Modes = Modes(), limits: Limits = Limits(), order: str = "id_asc", guards: Guards | None = Guards()) -> None:
         self.spark, self.modes, self.limits, self.order, self.guards = spark, modes, limits, order, guards
 
-    def open(self) -> EventStore:
+    def open(self) -> Store:
         return self
 
     def close(self) -> None:
@@ -73,7 +73,7 @@ class EventStore:
         return ids if isinstance(ids, DataFrame) else self.spark.createDataFrame([(i,) for i in ids], "id string")
 
 
-class NullStore(EventStore):
+class NullStore(Store):
     """Keeps nothing."""
 
     def events(self) -> DataFrame:
@@ -89,7 +89,7 @@ class NullStore(EventStore):
         pass
 
 
-class MemoryStore(EventStore):
+class MemoryStore(Store):
     """Events that the driver holds, for tests and small sets."""
 
     def __init__(self, spark: SparkSession, rows: list | None = None, **options) -> None:
@@ -113,7 +113,7 @@ class MemoryStore(EventStore):
         self._rows = [tuple(r) for r in writes.delete(self.events(), self._ids(ids)).collect()]
 
 
-class FrameStore(EventStore):
+class FrameStore(Store):
     """Any DataFrame of events, to be read only."""
 
     def __init__(self, events: DataFrame, **options) -> None:
@@ -129,7 +129,7 @@ def jsonl_store(spark: SparkSession, path: str, **options) -> FrameStore:
     return FrameStore(read_jsonl(spark, path)[0], **options)
 
 
-class ParquetStore(EventStore):
+class ParquetStore(Store):
     """Versioned Parquet below ``path``, on any file system that Spark writes to."""
 
     def __init__(self, spark: SparkSession, path: str, **options) -> None:
@@ -246,7 +246,7 @@ class ParquetStore(EventStore):
         self._commit(m | {"regular": [self._write(kept.where(kind_class() == REGULAR), "regular", ["created_at", "id"])], "moved": self._write(kept.where(kind_class() != REGULAR), "moved", ["created_at", "id"]), "deleted": []})
 
 
-def skip_matching(store: EventStore, skip: Column) -> EventStore:
+def skip_matching(store: Store, skip: Column) -> Store:
     """The store, with events that match ``skip`` dropped before they are written."""
     save, publish = store.save, store.publish
     drop = lambda batch: batch.where(~F.coalesce(skip, F.lit(False)))
@@ -256,7 +256,7 @@ def skip_matching(store: EventStore, skip: Column) -> EventStore:
     return store
 
 
-def without_search(store: EventStore) -> EventStore:
+def without_search(store: Store) -> Store:
     """The store, with an empty result for filters that search."""
     store.modes = Modes(store.modes.tag_match, "disabled", store.modes.id_match, store.modes.max_text)
     return store

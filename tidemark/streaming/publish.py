@@ -14,7 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions.tags import first_value
 from ..model import ADDRESSABLE, COLUMNS, EVENT_SCHEMA, REPLACEABLE, kind_class, malformed
 from ..operators.counts import author_sketches, merge_sketches
-from ..sources.store import EventStore
+from ..sources.store import Store
 
 
 def read_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -22,7 +22,7 @@ def read_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(EVENT_SCHEMA).json(path).where(~malformed())
 
 
-def publish_stream(events: DataFrame, store: EventStore, checkpoint: str, every: str | None = None) -> StreamingQuery:
+def publish_stream(events: DataFrame, store: Store, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Publishes each micro-batch. Publishing twice is publishing once, so a batch that runs again does no harm."""
     writer = events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: store.publish(batch))
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
