@@ -1,6 +1,7 @@
 """Line cleaning, the quality network, mixing and packing."""
 
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -36,6 +37,40 @@ def test_lines_empty(none):
     assert lines.clean_lines(none).count() == 0
 
 
+def plain_pieces(line):
+    """The pieces of a line that lines.py describes, plainly."""
+    units = re.findall("[^ ]{1,64} *", line)
+    if len(units) <= 256:
+        return [line]
+    runs = [tuple(units[k : k + 10]) for k in range(len(units) - 9)]
+    n = -(-len(units) // 256)
+    return [] if len(set(runs)) < 0.25 * len(runs) else ["".join(units[k * len(units) // n : (k + 1) * len(units) // n]) for k in range(n)]
+
+
+def test_long_lines_lose_what_fails_in_them_and_no_more(docs_of):
+    r = random.Random(5)
+    vocabulary = ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(2000)]
+    words = [r.choice(vocabulary) for _ in range(150_000)]
+    clean = " ".join(words) + "."
+    spoilt = [*words[:20_000]]
+    spoilt[7_000], spoilt[12_000:12_003] = "cookie", ["Home", "|", "About | News | Contact"]
+    spoilt = " ".join(spoilt)
+    passage = " ".join(words[:600])
+    unspaced = "".join(r.choice("abcdefghijklmnop。") for _ in range(60_000)) + "cookie" + "x" * 40_000 + "。"
+    few = " ".join(words[:256]) + "."
+    want = {1: clean, 2: None, 3: None, 4: None, 5: None, 6: few, 7: None, 8: None}
+    for i, line, bad in ((2, spoilt, ("cookie", "Home |")), (5, unspaced, ("cookie",))):
+        want[i] = "".join(p for p in plain_pieces(line) if not any(b in p for b in bad)).strip()
+        assert 0 < len(line) - len(want[i]) < 0.25 * len(line)
+    rows = [
+        (1, clean, "s"), (2, spoilt, "s"), (3, f"{passage} " * 40 + "End.", "s"), (4, "go " * 100_000 + "End.", "s"),
+        (5, unspaced, "s"), (6, few, "s"), (7, few + " cookie", "s"), (8, "Home | About | News " * 5_000, "s"),
+    ]
+    got = {x.doc_id: x for x in lines.clean_lines(docs_of(rows)).collect()}
+    assert {i: x.text for i, x in got.items()} == {i: t for i, t in want.items() if t}
+    assert all(x.n_chars == len(x.text) for x in got.values())
+
+
 def test_clean_documents_stay(spark):
     docs, labels = (spark.read.parquet(f"{SF.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
     kept = {r.doc_id for r in lines.clean_lines(docs).select("doc_id").collect()}

@@ -4,7 +4,12 @@ All of it is built-in expressions over one scan; nothing is shuffled and no text
 
 * a null, empty or blank text has no line to keep and is rejected;
 * blank lines are dropped and count neither as kept nor as lost;
-* lines and documents may be of any length; repeated rows are judged alike, each for itself;
+* lines and documents may be of any length: a line of more than ``WINDOW`` words is judged in consecutive pieces of equal
+  numbers of words, at most that many each, so that a phrase, marks or repeats cost it the piece that holds them and not
+  the line; a phrase that the border of two pieces cuts is not seen. A word of over ``WORD_CHARS`` characters counts as
+  several, so that texts without spaces are cut too. Whether it holds a sentence is asked of the whole line, and a line
+  that repeats longer passages than a piece goes whole;
+* repeated rows are judged alike, each for itself;
 * an empty table gives an empty table; all other columns, whatever their names, pass through unchanged.
 """
 
@@ -29,28 +34,52 @@ BOILERPLATE = (
 SYMBOLS = "([$%#&*!?^~=_+]{2,}.*){2,}"
 #: A line of at least so many words of which fewer than this share are different repeats itself.
 REPEAT_WORDS, REPEAT_SHARE = 12, 0.25
+#: A longer line is judged in pieces, of which each has over half as many words.
+WINDOW, WORD_CHARS = 256, 64
+#: Of a longer line, the share of different runs of so many words is held against REPEAT_SHARE too; unlike that of words, it does not fall with length.
+RUN_WORDS = 10
 #: A document must keep this share of its characters.
 KEEP_SHARE = 0.5
 
 
-def _rules(lower: str, words: str, distinct: str, size: str, matches: str, quote: tuple[str, str]) -> str:
+def _prose(lower: str, words: str, size: str, matches: str, quote: tuple[str, str]) -> str:
+    """Whether a line holds a sentence, or words enough to do without."""
+    return f"({matches.format(x=lower, p=ENDING.replace(*quote))} OR {size}({words}) >= {PROSE_WORDS})"
+
+
+def _rules(lower: str, words: str, distinct: str, size: str, matches: str, quote: tuple[str, str], prose: str | None = None) -> str:
     """The rules over one trimmed line as SQL: its lower-case form, its words, and the dialect's names for functions."""
     rule = lambda pattern: matches.format(x=lower, p=pattern.replace(*quote))
     phrases = " OR ".join(f"contains({lower}, '{x}')" for x in BOILERPLATE)
     return (
-        f"({rule(ENDING)} OR {size}({words}) >= {PROSE_WORDS}) AND NOT {rule(NAVIGATION)} AND NOT {rule(SYMBOLS)} AND NOT ({phrases})"
+        f"{prose or _prose(lower, words, size, matches, quote)} AND NOT {rule(NAVIGATION)} AND NOT {rule(SYMBOLS)} AND NOT ({phrases})"
         f" AND ({size}({words}) < {REPEAT_WORDS} OR {size}({distinct}({words})) >= {REPEAT_SHARE} * {size}({words}))"
     )
 
 
+def _pieces(line: str) -> str:
+    """The pieces of a trimmed line as SQL: their concatenation is the line; none if the line repeats itself from piece to piece."""
+    count = f"((size(u) + {WINDOW - 1}) div {WINDOW})"
+    start = lambda k: f"int({k} * bigint(size(u)) div {count})"
+    cut = f"transform(sequence(0, int({count}) - 1), k -> array_join(slice(u, {start('k')} + 1, {start('(k + 1)')} - {start('k')}), ''))"
+    runs = f"transform(sequence(1, size(u) - {RUN_WORDS - 1}), k -> xxhash64(slice(u, k, {RUN_WORDS})))"
+    repeats = f"exists(array({runs}), r -> size(array_distinct(r)) < {REPEAT_SHARE} * size(r))"
+    units = f"regexp_extract_all({line}, '([^ ]{{1,{WORD_CHARS}}} *)', 1)"
+    # More words than a window take more than twice as many characters.
+    return f"if(length({line}) <= {2 * WINDOW}, array({line}), flatten(transform(array({units}), u -> if(size(u) <= {WINDOW}, array({line}), if({repeats}, cast(array() AS array<string>), {cut})))))"
+
+
 def clean_lines(docs: DataFrame, text: str = "text", length: str = "n_chars", keep_share: float = KEEP_SHARE) -> DataFrame:
     """Documents that keep enough, with their kept lines as text and, where the column exists, their new length."""
-    passes = _rules("l.lower", "l.words", "array_distinct", "size", "{x} rlike r\"{p}\"", ('"', "\\x22"))
+    dialect = ("size", "{x} rlike r\"{p}\"", ('"', "\\x22"))
+    passes = _rules("p.lower", "p.words", "array_distinct", *dialect, prose="s.prose")
     lines = f"filter(transform(split(row.`{text}`, '\\n'), l -> trim(l)), l -> l <> '')"
-    read = f"transform({lines}, l -> named_struct('line', l, 'lower', lower(l), 'words', split(l, ' ')))"
+    pieces = f"transform({_pieces('l')}, p -> named_struct('piece', p, 'lower', lower(trim(p)), 'words', split(trim(p), ' ')))"
     # Each struct is made once: the next lambda takes it as its variable, so no rule is evaluated twice.
-    kept = f"transform(array(named_struct('lines', {read})), s -> named_struct('all', s.lines, 'kept', filter(s.lines, l -> {passes})))"
-    joined = f"transform({kept}, s -> named_struct('text', array_join(s.kept.line, '\\n'), 'kept', aggregate(s.kept.line, 0L, (n, l) -> n + length(l)), 'all', aggregate(s.all.line, 0L, (n, l) -> n + length(l))))"
+    read = f"transform({lines}, l -> named_struct('length', length(l), 'prose', {_prose('l', "split(l, ' ')", *dialect)}, 'pieces', {pieces}))"
+    line = f"trim(array_join(filter(s.pieces, p -> {passes}).piece, ''))"
+    kept = f"transform(array({read}), a -> named_struct('all', a.length, 'kept', filter(transform(a, s -> {line}), l -> l <> '')))"
+    joined = f"transform({kept}, s -> named_struct('text', array_join(s.kept, '\\n'), 'kept', aggregate(s.kept, 0L, (n, l) -> n + length(l)), 'all', aggregate(s.all, 0L, (n, l) -> n + l)))"
     good = f"filter({joined}, s -> s.kept > 0 AND s.kept >= {keep_share} * s.all)"
     rows = packed(docs).select("row", F.expr(f"explode({good})").alias("clean"))
     new = {text: F.col("clean.text"), length: F.length("clean.text").cast(dict(docs.dtypes).get(length, "bigint"))}
