@@ -1,7 +1,8 @@
 """Exact dedup by progressive refinement: byte length, then hash of a prefix, then hash of the whole text.
 
-Each step scans only what it needs and hands on the keys that at least two texts share. The whole text is hashed, and
-moved, only where length and prefix both agree. What is broadcast is counted first; beyond the bound Spark shuffles.
+Each step scans only what it needs and hands on the keys that at least two texts share. While the keys that remain fit
+a broadcast, which is counted first, the whole text is hashed, and moved, only where length and prefix both agree. Beyond that
+bound Spark shuffles: ``exact_copies`` then hashes every text, and moves the hash; ``drop_exact_copies`` moves every text once.
 Defined results:
 
 * two null texts are not copies: what a null holds is unknown; such rows stay;
