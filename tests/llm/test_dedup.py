@@ -59,45 +59,130 @@ def test_exact_empty(none):
 # ---- n-grams
 
 
-def brute_pairs(rows, n=3, threshold=0.6):
+def gram_sets(rows, n=3):
     classes = defaultdict(list)
     for i, t in rows:
         w = words(t)
         if w:
             classes[frozenset(tuple(w[k : k + n]) for k in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)])].append(i)
-    items, out = [(s, ordered(ids)) for s, ids in classes.items()], set()
-    for k, (s, a) in enumerate(items):
-        if len(a) > 1:
-            out.add((tuple(a), tuple(a), 1.0))
-        for t, b in items[:k]:
-            j = len(s & t) / len(s | t)
+    return [(s, ordered(ids)) for s, ids in classes.items()]
+
+
+def brute_pairs(rows, n=3, threshold=0.6):
+    """Of classes, by their places among them; an index of n-grams spares pairs that have none in common."""
+    items, having, out = gram_sets(rows, n), defaultdict(list), {}
+    for k, (s, _) in enumerate(items):
+        common = defaultdict(int)
+        for gram in s:
+            for other in having[gram]:
+                common[other] += 1
+            having[gram].append(k)
+        for other, c in common.items():
+            j = c / (len(s) + len(items[other][0]) - c)
             if j >= threshold:
-                x, y = (a, b) if (a[0] is not None and (b[0] is None or a[0] < b[0])) else (b, a)
-                out.add((tuple(x), tuple(y), round(j, 12)))
-    return out
+                out[other, k] = j
+    return items, out
+
+
+def brute_similar(rows, threshold=0.6):
+    items, pairs = brute_pairs(rows, threshold=threshold)
+    links = defaultdict(list)
+    for (a, b), j in pairs.items():
+        links[a].append(j)
+        links[b].append(j)
+    return sorted(((i, ids[0], len(ids), len(links[k]), max(links[k], default=None)) for k, (_, ids) in enumerate(items) if len(ids) > 1 or links[k] for i in ids), key=repr)
+
 
+def linked(df):
+    return sorted(((r.doc_id, r.class_id, r.copies, r.links, r.best) for r in df.collect()), key=repr)
 
-def found(df):
-    return {(tuple(r.left_ids), tuple(r.right_ids), round(r.jaccard, 12)) for r in df.collect()}
+
+def brute_edges(rows, threshold=0.6):
+    items, pairs = brute_pairs(rows, threshold=threshold)
+    return sorted((*ordered([items[a][1][0], items[b][1][0]]), j) for (a, b), j in pairs.items())
+
+
+def edges(df):
+    return sorted((r.left_id, r.right_id, r.jaccard) for r in df.collect())
+
+
+def clusters(seed, sizes, length=(5, 200), changed=10):
+    """Texts in clusters of near copies, with accidental n-grams in common and a passage that a third of them share."""
+    r = random.Random(seed)
+    passage, texts = [f"p{k}" for k in range(30)], []
+    for g, size in enumerate(sizes):
+        base = [f"{'abcdefghij'[r.randrange(10)]}{r.randrange(9)}" for _ in range(r.randint(*length))]
+        for _ in range(size):
+            own = list(base)
+            for _ in range(r.randint(0, max(1, len(own) // changed))):
+                own[r.randrange(len(own))] = f"w{r.randrange(10**6)}"
+            texts.append(" ".join(own + passage if g % 3 == 0 else own))
+    r.shuffle(texts)
+    return list(enumerate(texts))
 
 
 def test_jaccard_on_nasty_rows(nasty):
     rows = [(r.doc_id, r.text) for r in nasty.select("doc_id", "text").collect()]
-    assert found(jaccard.similar(nasty)) == brute_pairs(rows)
+    assert linked(jaccard.similar(nasty)) == brute_similar(rows)
 
 
-def test_jaccard_recall_and_exact_values(docs_of):
-    r = random.Random(4)
+def test_jaccard_loses_nothing(docs_of):
+    rows = clusters(4, [1 + k % 8 for k in range(150)])
+    docs = docs_of([(i, t, "s") for i, t in rows])
+    want = brute_edges(rows)
+    assert len(want) > 300 and edges(jaccard.similar_pairs(docs)) == want
+    assert linked(jaccard.similar(docs)) == brute_similar(rows)
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.85])
+def test_jaccard_at_other_thresholds(docs_of, threshold):
+    rows = clusters(6, [4] * 60, (1, 60), 5)
+    assert edges(jaccard.similar_pairs(docs_of([(i, t, "s") for i, t in rows]), threshold=threshold)) == brute_edges(rows, threshold)
+
+
+def test_jaccard_with_every_bound_crossed(docs_of, monkeypatch):
+    """Long lists by blocks, groups and partners in parts, small trees, tiles, and tables that are not broadcast."""
+    from tidemark.llm import common
+
+    for name, value in (("LIST", 7), ("GROUP_CLASSES", 6), ("PARTNERS", 2), ("TREE_CLASSES", 5), ("TREE_GRAMS", 600), ("CELLS", 1 << 10)):
+        monkeypatch.setattr(jaccard, name, value)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(jaccard, "bounded_broadcast", lambda df, size: df)
+    rows = clusters(5, [40, 30, 9, 9, 3, 2, 1, 1, 1] * 2, (20, 120))
+    docs = docs_of([(i, t, "s") for i, t in rows])
+    assert edges(jaccard.similar_pairs(docs)) == brute_edges(rows)
+    assert jaccard.drop_near_copies(docs).count() == len(rows) - len(removed(rows))
+
+
+def removed(rows):
+    items, pairs = brute_pairs(rows)
+    root = list(range(len(items)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a, b in pairs:
+        x, y = find(a), find(b)
+        root[y] = x
+    stays = {min(i for k, (_, ids) in enumerate(items) if find(k) == r for i in ids) for r in {find(k) for k in range(len(items))}}
+    return {i for _, ids in items for i in ids} - stays
+
+
+def test_jaccard_of_a_large_cluster(docs_of):
+    """2,400 different near copies of one text: several trees of 512 classes, each of three levels above them."""
+    r = random.Random(12)
+    base = [f"b{k}" for k in range(120)]
     rows = []
-    for g in range(60):
-        base = prose(1000 + g, r.randint(30, 200)).split()
-        for _ in range(r.randint(1, 6)):
-            own = list(base)
-            for _ in range(r.randint(0, max(1, len(own) // 12))):
-                own[r.randrange(len(own))] = f"w{r.randrange(10**6)}"
-            rows.append((len(rows), " ".join(own)))
-    want, got = brute_pairs(rows), found(jaccard.similar(docs_of([(i, t, "s") for i, t in rows])))
-    assert got <= want and len(got) >= 0.98 * len(want) and len(want) > 50
+    for i in range(2400):
+        own = list(base)
+        for _ in range(r.randint(1, 9)):
+            own[r.randrange(120)] = f"u{r.randrange(10**7)}"
+        rows.append((i, " ".join(own)))
+    want = brute_similar(rows)
+    assert len({w[1] for w in want}) > 2000 and max(w[3] for w in want) > 1000
+    assert linked(jaccard.similar(docs_of([(i, t, "s") for i, t in rows]))) == want
 
 
 def test_jaccard_one_of_each_group_stays(nasty):
@@ -118,38 +203,52 @@ def test_groups_of_a_long_path(spark):
     assert {(r.node, r.root) for r in jaccard.groups(pairs).collect()} == {(f"{i:02d}", "00") for i in range(1, n)}
 
 
-def test_tree_gives_every_possible_pair_and_prunes():
+def test_one_tree_of_many_classes_gives_every_pair_and_prunes():
     r = np.random.default_rng(1)
     sets = []
-    for g in range(40):
-        base = r.integers(0, 1 << 62, 150, dtype=np.uint64)
-        for _ in range(int(r.integers(1, 9))):
+    while len(sets) < 2200:
+        base = r.integers(0, 1 << 62, int(r.integers(140, 160)), dtype=np.uint64)
+        for _ in range(int(r.integers(1, 30))):
             own = base.copy()
-            own[: int(r.integers(0, 60))] = r.integers(0, 1 << 62, 1, dtype=np.uint64)
+            own[r.integers(0, len(own), int(r.integers(0, 40)))] = r.integers(0, 1 << 62, 1, dtype=np.uint64)
             sets.append(np.unique(own))
-    sets.sort(key=len)
-    sizes = np.array([len(s) for s in sets])
-    bitmaps = np.stack([jaccard._bits(s, 1024) for s in sets]).view(np.uint64)
-    a, b = jaccard.Tree(sizes, bitmaps).pairs(0.6)
-    got = set(zip(a.tolist(), b.tolist()))
-    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if len(np.intersect1d(sets[i], sets[j])) >= 0.6 * len(np.union1d(sets[i], sets[j]))}
-    assert want <= got
-    assert len(got) < 0.5 * len(sets) * (len(sets) - 1) / 2
+    tree = jaccard.Tree(np.array([len(s) for s in sets]), np.stack([jaccard._bits(s, 1024) for s in sets]).view(np.uint64))
+    assert len(tree.levels) > 4
+    having, want = defaultdict(list), defaultdict(int)
+    for k, s in enumerate(sets):
+        for g in s.tolist():
+            for other in having[g]:
+                want[other, k] += 1
+            having[g].append(k)
+    want = {(i, j) for (i, j), c in want.items() if c >= 0.6 * (len(sets[i]) + len(sets[j]) - c)}
+    for other, same in ((tree, True), (tree.folded(8), False)):
+        got = set(zip(*(x.tolist() for x in jaccard.traverse(tree, other, 0.6, same))))
+        assert want <= got and (not same or all(i < j for i, j in got))
+        assert len(got) < 0.2 * len(sets) ** 2
+
+
+def test_traversal_of_trees_of_different_depth_and_width():
+    r = np.random.default_rng(3)
+    sets = [np.unique(r.integers(0, 60, 40, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(90)]
+    tree = lambda own, bits: jaccard.Tree(np.array([len(s) for s in own]), np.stack([jaccard._bits(s, bits) for s in own]).view(np.uint64))
+    for left, right in ((sets[:1], sets[1:]), (sets[:70], sets[70:73]), (sets[:9], sets[9:])):
+        got = set(zip(*(x.tolist() for x in jaccard.traverse(tree(left, 512), tree(right, 256), 0.6))))
+        assert {(i, j) for i, x in enumerate(left) for j, y in enumerate(right) if len(np.intersect1d(x, y)) >= 0.6 * len(np.union1d(x, y))} <= got
 
 
 def test_overlaps_in_tiles(monkeypatch):
     r = np.random.default_rng(2)
     sets = [np.unique(r.integers(0, 400, 120)).astype(np.uint64) for _ in range(30)]
-    five = [s.view(np.uint8).reshape(-1, 8)[:, :5] for s in sets]
     a, b = np.triu_indices(30, 1)
     want = [len(np.intersect1d(sets[i], sets[j])) for i, j in zip(a, b)]
-    assert jaccard._overlaps(five, a, b).tolist() == want
-    monkeypatch.setattr(jaccard, "CELLS", 1 << 10)
-    assert jaccard._overlaps(five, a, b).tolist() == want
+    assert jaccard._overlaps(sets, a, b).tolist() == want
+    monkeypatch.setattr(jaccard, "CELLS", 1 << 12)
+    assert jaccard._overlaps(sets, a, b).tolist() == want
+    assert jaccard._overlaps(sets, a[:3], b[:3]).tolist() == want[:3]
 
 
 def test_jaccard_empty(none):
-    assert jaccard.similar(none).count() == jaccard.drop_near_copies(none).count() == 0
+    assert jaccard.similar(none).count() == jaccard.similar_pairs(none).count() == jaccard.drop_near_copies(none).count() == 0
 
 
 # ---- suffixes
