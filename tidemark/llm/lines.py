@@ -3,7 +3,8 @@
 All of it is built-in expressions over one scan; nothing is shuffled and no text leaves the JVM. Defined results:
 
 * a null, empty or blank text has no line to keep and is rejected;
-* blank lines are dropped and count neither as kept nor as lost;
+* white space around a line goes (tabs, carriage returns and Unicode spaces too); blank lines are dropped and count neither as
+  kept nor as lost;
 * lines and documents may be of any length: a line of more than ``WINDOW`` words is judged in consecutive pieces of equal
   numbers of words, at most that many each, so that a phrase, marks or repeats cost it the piece that holds them and not
   the line; a phrase that the border of two pieces cuts is not seen. A word of over ``WORD_CHARS`` characters counts as
@@ -15,6 +16,8 @@ All of it is built-in expressions over one scan; nothing is shuffled and no text
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,10 +29,23 @@ ENDING = "[.!?;:…。！？][\"'”’»)\\]]*( |$)"
 PROSE_WORDS = 10
 #: Words joined by bars, arrows or bullets: menus and bread crumbs, also flattened tables.
 NAVIGATION = "[^ ] ?[|»›•·] ?[^ ].*[|»›•·]"
-BOILERPLATE = (
-    "all rights reserved", "privacy policy", "terms of use", "terms of service", "cookie", "javascript", "lorem ipsum", "click here", "subscribe", "sign up",
-    "log in to", "login to", "licensed under", "released under", "under the terms of", "copyright", "powered by", "share this", "share on ",
+#: Stock phrases in four languages. They end at word boundaries; a line fails if they make up BOILERPLATE_SHARE of its characters.
+_PHRASES = (
+    "all rights reserved", "(privacy|cookie) (policy|notice|settings|preferences)", "terms (of|and) (use|service|conditions)", "(we|site|website|page) uses? cookies", "accept (all )?cookies",
+    "(enable|requires|turn on) javascript", "lorem ipsum( dolor sit amet)?", "click here( to| for)?", "(subscribe|sign up) (to|for) (our|the|this)( newsletter)?", "log ?in to (your|continue|comment|reply|view)",
+    "powered by [^ ]+", "share (this|on) (facebook|twitter|linkedin|page|post|article|story)", "copyright ([(]c[)] ?|© ?)?[0-9]{4}", "© ?[0-9]{4}",
+    "(licensed|released|distributed|available) under [^.]{0,40}(licen[cs]e|cc by|cc0|gnu|mit|apache|bsd|mpl)",
+    "alle rechte vorbehalten", "datenschutz(erklärung|bestimmungen|hinweise)", "nutzungsbedingungen", "(wir|seite|website) verwende[nt] cookies", "cookies? (akzeptieren|zulassen|einstellungen)", "hier klicken",
+    "newsletter (abonnieren|anmelden)", "(lizenziert|veröffentlicht) unter [^.]{0,40}(lizenz|cc by|gnu|mit|apache)",
+    "tous droits réservés", "politique de (confidentialité|cookies)", "mentions légales", "conditions (générales )?d.utilisation", "(nous utilisons|site utilise) des cookies", "accepter (tous )?les cookies", "cliquez ici",
+    "(abonnez|inscrivez)-vous à", "(distribué|publié|disponible) sous [^.]{0,40}(licence|cc by|gnu|mit|apache)",
+    "todos los derechos reservados", "política de (privacidad|cookies)", "aviso legal", "(términos|condiciones) de uso", "(utilizamos|usa|utiliza) cookies", "aceptar (todas )?(las )?cookies", "ha(ga|z) clic aquí",
+    "(suscríbase|suscríbete) a", "(licenciado|publicado|distribuido) bajo [^.]{0,40}(licencia|cc by|gnu|mit|apache)",
 )
+BOILERPLATE = "(^|[^\\p{L}\\p{N}])(" + re.sub(r"(?<!\[)\(", "(?:", "|".join(_PHRASES)) + ")($|[^\\p{L}\\p{N}])"
+BOILERPLATE_SHARE = 0.3
+#: White space besides the space: tab, vertical tab, form feed, carriage return, no-break and ideographic space, zero-width space, byte order mark.
+SPACES = (9, 11, 12, 13, 160, 12288, 8203, 65279)
 #: Marks glued to a word two or more times in a line: emphasis spam and broken markup.
 SYMBOLS = "([$%#&*!?^~=_+]{2,}.*){2,}"
 #: A line of at least so many words of which fewer than this share are different repeats itself.
@@ -47,16 +63,20 @@ def _prose(lower: str, words: str, size: str, matches: str, quote: tuple[str, st
     return f"({matches.format(x=lower, p=ENDING.replace(*quote))} OR {size}({words}) >= {PROSE_WORDS})"
 
 
-def _rules(lower: str, words: str, distinct: str, size: str, matches: str, quote: tuple[str, str], prose: str | None = None) -> str:
+def _rules(lower: str, words: str, distinct: str, size: str, matches: str, quote: tuple[str, str], replace: str, prose: str | None = None) -> str:
     """The rules over one trimmed line as SQL: its lower-case form, its words, and the dialect's names for functions."""
     rule = lambda pattern: matches.format(x=lower, p=pattern.replace(*quote))
-    phrases = " OR ".join(f"contains({lower}, '{x}')" for x in BOILERPLATE)
+    phrases = f"length({lower}) - length({replace.format(x=lower, p=BOILERPLATE.replace(*quote))}) >= {BOILERPLATE_SHARE} * length({lower})"
     return (
-        f"{prose or _prose(lower, words, size, matches, quote)} AND NOT {rule(NAVIGATION)} AND NOT {rule(SYMBOLS)} AND NOT ({phrases})"
+        f"{prose or _prose(lower, words, size, matches, quote)} AND NOT {rule(NAVIGATION)} AND NOT {rule(SYMBOLS)} AND NOT ({rule(BOILERPLATE)} AND {phrases})"
         f" AND ({size}({words}) < {REPEAT_WORDS} OR {size}({distinct}({words})) >= {REPEAT_SHARE} * {size}({words}))"
     )
 
 
+def _trim(line: str) -> str:
+    return "trim(BOTH ' " + "".join(f"\\u{c:04X}" for c in SPACES) + f"' FROM {line})"
+
+
 def _pieces(line: str) -> str:
     """The pieces of a trimmed line as SQL: their concatenation is the line; none if the line repeats itself from piece to piece."""
     count = f"((size(u) + {WINDOW - 1}) div {WINDOW})"
@@ -72,12 +92,12 @@ def _pieces(line: str) -> str:
 def clean_lines(docs: DataFrame, text: str = "text", length: str = "n_chars", keep_share: float = KEEP_SHARE) -> DataFrame:
     """Documents that keep enough, with their kept lines as text and, where the column exists, their new length."""
     dialect = ("size", "{x} rlike r\"{p}\"", ('"', "\\x22"))
-    passes = _rules("p.lower", "p.words", "array_distinct", *dialect, prose="s.prose")
-    lines = f"filter(transform(split(row.`{text}`, '\\n'), l -> trim(l)), l -> l <> '')"
-    pieces = f"transform({_pieces('l')}, p -> named_struct('piece', p, 'lower', lower(trim(p)), 'words', split(trim(p), ' ')))"
+    passes = _rules("p.lower", "p.words", "array_distinct", *dialect, "regexp_replace({x}, r\"{p}\", '')", prose="s.prose")
+    lines = f"filter(transform(split(row.`{text}`, '\\n'), l -> {_trim('l')}), l -> l <> '')"
+    pieces = f"transform({_pieces('l')}, p -> named_struct('piece', p, 'lower', lower({_trim('p')}), 'words', split({_trim('p')}, ' ')))"
     # Each struct is made once: the next lambda takes it as its variable, so no rule is evaluated twice.
     read = f"transform({lines}, l -> named_struct('length', length(l), 'prose', {_prose('l', "split(l, ' ')", *dialect)}, 'pieces', {pieces}))"
-    line = f"trim(array_join(filter(s.pieces, p -> {passes}).piece, ''))"
+    line = _trim(f"array_join(filter(s.pieces, p -> {passes}).piece, '')")
     kept = f"transform(array({read}), a -> named_struct('all', a.length, 'kept', filter(transform(a, s -> {line}), l -> l <> '')))"
     joined = f"transform({kept}, s -> named_struct('text', array_join(s.kept, '\\n'), 'kept', aggregate(s.kept, 0L, (n, l) -> n + length(l)), 'all', aggregate(s.all, 0L, (n, l) -> n + l)))"
     good = f"filter({joined}, s -> s.kept > 0 AND s.kept >= {keep_share} * s.all)"
@@ -87,9 +107,10 @@ def clean_lines(docs: DataFrame, text: str = "text", length: str = "n_chars", ke
 
 
 def oracle() -> str:
-    passes = _rules("lower(l)", "string_split(l, ' ')", "list_distinct", "len", "regexp_matches({x}, '{p}')", ("'", "''"))
+    passes = _rules("lower(l)", "string_split(l, ' ')", "list_distinct", "len", "regexp_matches({x}, '{p}')", ("'", "''"), "regexp_replace({x}, '{p}', '', 'g')")
+    spaces = "' ' || " + " || ".join(f"chr({c})" for c in SPACES)
     return f"""
-WITH a AS (SELECT *, list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(l)), lambda l: l <> '') AS ls FROM documents),
+WITH a AS (SELECT *, list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(l, {spaces})), lambda l: l <> '') AS ls FROM documents),
  b AS (SELECT *, list_filter(ls, lambda l: {passes}) AS ks FROM a),
  c AS (SELECT *, length(array_to_string(ls, '')) AS n_all, length(array_to_string(ks, '')) AS n_kept, array_to_string(ks, chr(10)) AS t FROM b)
 SELECT doc_id, t AS text, lang, source, length(t) AS n_chars FROM c WHERE n_kept > 0 AND n_kept >= {KEEP_SHARE} * n_all
