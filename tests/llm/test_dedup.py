@@ -180,9 +180,22 @@ def test_jaccard_of_a_large_cluster(docs_of):
         for _ in range(r.randint(1, 9)):
             own[r.randrange(120)] = f"u{r.randrange(10**7)}"
         rows.append((i, " ".join(own)))
-    want = brute_similar(rows)
-    assert len({w[1] for w in want}) > 2000 and max(w[3] for w in want) > 1000
-    assert linked(jaccard.similar(docs_of([(i, t, "s") for i, t in rows]))) == want
+    sets = gram_sets(rows)
+    names = {g: k for k, g in enumerate({g for s, _ in sets for g in s})}
+    x = np.zeros((len(sets), 118), np.float32)  # the n-grams of the base text; the others are in one set each
+    of_base = {g: k for k, g in enumerate(tuple(base[k : k + 3]) for k in range(118))}
+    for k, (s, _) in enumerate(sets):
+        x[k, [of_base[g] for g in s if g in of_base]] = 1
+    assert len(names) > 10_000 and len(sets) > 2000
+    common = x @ x.T
+    size = np.array([len(s) for s, _ in sets])
+    jaccard_ = common / (size[:, None] + size[None, :] - common)
+    np.fill_diagonal(jaccard_, 0)
+    want = {ids_[0]: ((jaccard_[k] >= 0.6).sum(), jaccard_[k].max()) for k, (_, ids_) in enumerate(sets)}
+    got = {q.doc_id: (q.links, q.best) for q in jaccard.similar(docs_of([(i, t, "s") for i, t in rows])).collect()}
+    assert len(got) > 2000 and max(n for n, _ in got.values()) > 1000
+    assert {i: n for i, (n, _) in got.items()} == {i: n for i, (n, _) in want.items() if n}
+    assert all(abs(b - want[i][1]) < 1e-6 for i, (_, b) in got.items())
 
 
 def test_jaccard_one_of_each_group_stays(nasty):
@@ -284,7 +297,7 @@ def test_repeats_on_nasty_rows(nasty):
     assert spans(repeats.repeated_spans(nasty)) == brute_spans(rows, 50)
 
 
-@pytest.mark.parametrize(("threshold", "seed"), [(8, 3), (12, 12 // 2), (20, 4), (9, 8)])
+@pytest.mark.parametrize(("threshold", "seed"), [(8, 3), (12, 12 // 2), (20, 1), (40, 1), (9, 8)])
 def test_repeats_at_other_lengths(docs_of, threshold, seed):
     r = random.Random(threshold)
     passages = [[f"p{r.randrange(4)}" for _ in range(60)] for _ in range(3)]
@@ -299,6 +312,25 @@ def test_repeats_at_other_lengths(docs_of, threshold, seed):
     assert spans(got) == brute_spans(rows, threshold)
 
 
+def test_rounds_double_to_the_threshold():
+    assert repeats._lengths(50, repeats.SEED) == [7, 14, 28, 50] and repeats._lengths(40, 1) == [1, 2, 4, 8, 16, 32, 40]
+
+
+def test_a_window_in_many_documents_takes_few_rows(spark):
+    """One passage in 50,000 documents, with words of their own around it; far more than a bucket's rows."""
+    passage = " ".join(f"p{k}" for k in range(12))
+    docs = spark.range(50_000).selectExpr("id AS doc_id", f"concat('a', id, ' {passage} b', id) AS text").repartition(4)
+    got = repeats.repeated_spans(docs, threshold=10, seed=1, bucket_rows=500).agg(F.count(F.lit(1)), F.min("start_word"), F.max("end_word"), F.sum(F.col("is_copy").cast("int")), F.min_by("doc_id", "is_copy")).first()
+    assert tuple(got) == (50_000, 1, 13, 49_999, 0)
+
+
+def test_texts_of_one_key_stay_apart(docs_of, monkeypatch):
+    monkeypatch.setattr(repeats, "_text_key", lambda text: F.lit(7).cast("bigint"))
+    a, b = prose(1, 120), prose(2, 90)
+    rows = [(1, a), (2, a + " " + b), (3, b), (4, prose(3, 200)), (5, a), (6, prose(4, 60))]
+    assert spans(repeats.repeated_spans(docs_of([(i, t, "s") for i, t in rows]))) == brute_spans(rows, 50)
+
+
 def test_repeats_empty(none):
     assert repeats.repeated_spans(none).count() == 0
 

@@ -24,12 +24,14 @@ def test_lines_go_first_then_documents(docs_of):
     rows = [
         (1, f"{good}\nHome | About | Contact\n\n  {good} ", "s"), (2, f"{good}\n" + "Home | About | News | Contact us now\n" * 9, "s"), (3, "No end", "s"),
         (4, f"{good}\nAll rights reserved.", None), (5, "spam$$$ words### here%%% now&&&.", "s"), (6, "go go go go go go go go go go go go go go go go go.", "s"),
+        (12, f"{good}\n" + "\t" * 100 + "\n \u00a0\r\n", "s"), (13, f"{good}\r\n\t{good}\r\n", "s"), (14, "The bakery sells a cookie and a cup of tea every morning.", "s"), (15, "He studied copyright law for years.", "s"),
+        (16, "Alle Rechte vorbehalten.", "s"), (17, "Tous droits réservés.", "s"), (18, "Wir verwenden Cookies.", "s"), (19, "Política de privacidad.", "s"), (20, "We use cookies to serve you.", "s"), (21, "Copyright (c) 2024 by us.", "s"),
         (7, None, "s"), (8, "", "s"), (9, " \n ", "s"), (None, good, "s"), (10, good, "s"), (10, good, "s"), (11, (good + "\n") * 5000, "s"),
     ]
     kept = lines.clean_lines(docs_of(rows))
     assert kept.columns == docs_of([]).columns
     got = {(r.doc_id, r.text if len(r.text) < 1000 else len(r.text), r.n_chars) for r in kept.collect()}
-    assert got == {(1, f"{good}\n{good}", 79), (4, good, 39), (None, good, 39), (10, good, 39), (11, 40 * 5000 - 1, 40 * 5000 - 1)}
+    assert got == {(1, f"{good}\n{good}", 79), (4, good, 39), (None, good, 39), (10, good, 39), (11, 40 * 5000 - 1, 40 * 5000 - 1), (12, good, 39), (13, f"{good}\n{good}", 79), *((i, t, len(t)) for i, t, _ in rows if i in (14, 15))}
     assert kept.where("doc_id = 10").count() == 2
 
 
@@ -53,18 +55,20 @@ def test_long_lines_lose_what_fails_in_them_and_no_more(docs_of):
     words = [r.choice(vocabulary) for _ in range(150_000)]
     clean = " ".join(words) + "."
     spoilt = [*words[:20_000]]
-    spoilt[7_000], spoilt[12_000:12_003] = "cookie", ["Home", "|", "About | News | Contact"]
+    spoilt[7_000], spoilt[12_000:12_003] = "spam$$$ more!!!", ["Home", "|", "About | News | Contact"]
+    spoilt[3_000:3_003] = ["all rights reserved", "cookie", "click here"]
     spoilt = " ".join(spoilt)
     passage = " ".join(words[:600])
-    unspaced = "".join(r.choice("abcdefghijklmnop。") for _ in range(60_000)) + "cookie" + "x" * 40_000 + "。"
+    unspaced = "".join(r.choice("abcdefghijklmnop。") for _ in range(60_000)) + "$$$a$$$" + "x" * 40_000 + "。"
     few = " ".join(words[:256]) + "."
+    marked = few + " spam$$$ more!!!"
     want = {1: clean, 2: None, 3: None, 4: None, 5: None, 6: few, 7: None, 8: None}
-    for i, line, bad in ((2, spoilt, ("cookie", "Home |")), (5, unspaced, ("cookie",))):
+    for i, line, bad in ((2, spoilt, ("$$$", "Home |")), (5, unspaced, ("$$$",))):
         want[i] = "".join(p for p in plain_pieces(line) if not any(b in p for b in bad)).strip()
         assert 0 < len(line) - len(want[i]) < 0.25 * len(line)
     rows = [
         (1, clean, "s"), (2, spoilt, "s"), (3, f"{passage} " * 40 + "End.", "s"), (4, "go " * 100_000 + "End.", "s"),
-        (5, unspaced, "s"), (6, few, "s"), (7, few + " cookie", "s"), (8, "Home | About | News " * 5_000, "s"),
+        (5, unspaced, "s"), (6, few, "s"), (7, marked, "s"), (8, "Home | About | News " * 5_000, "s"),
     ]
     got = {x.doc_id: x for x in lines.clean_lines(docs_of(rows)).collect()}
     assert {i: x.text for i, x in got.items()} == {i: t for i, t in want.items() if t}
@@ -133,6 +137,36 @@ def test_gradient_by_differences():
             assert abs((up - down) / (2 * h) - g[name][index]) < 0.01 + 0.05 * abs(g[name][index]), (name, index)
 
 
+def plain_score(net, data: bytes) -> float:
+    """The network by loops over chunks, windows and filters."""
+    w, step, tops = {k: v.astype(float) for k, v in net.w.items()}, quality.CHUNK - quality.OVERLAP, []
+    start = 0
+    while True:
+        chunk = [*data[start : start + quality.CHUNK]]
+        chunk += [256] * (quality.CHUNK - len(chunk))
+        features = []
+        for f in range(quality.FILTERS):
+            best = 0.0
+            for at in range(0, quality.CHUNK - quality.WIDTH + 1, quality.STRIDE):
+                x = w["bias"][f] + sum(w["embed"][chunk[at + k]][d] * w["filter"][k * quality.DIM + d][f] for k in range(quality.WIDTH) for d in range(quality.DIM))
+                best = max(best, x)
+            features.append(best)
+        tops.append(features)
+        if start + quality.CHUNK >= len(data):
+            break
+        start += step
+    both = [sum(c) / len(tops) for c in zip(*tops)] + [max(c) for c in zip(*tops)]
+    return 1 / (1 + np.exp(-(sum(a * b for a, b in zip(both, w["out"])) + w["shift"][0])))
+
+
+def test_scores_against_a_plain_network():
+    net, r = quality.Network(4), np.random.default_rng(4)
+    net.w["bias"] = r.standard_normal(quality.FILTERS).astype(np.float32)
+    texts = [b"x", "Grüße, so kurz.".encode(), bytes(r.integers(32, 127, 256).tolist()), bytes(r.integers(32, 127, 700).tolist())]
+    data, offs = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(t) for t in texts])
+    assert np.allclose(net.scores(data, offs), [plain_score(net, t) for t in texts], atol=1e-4)
+
+
 def test_scores_do_not_depend_on_the_batch(nasty):
     net = quality.Network(2)
     got = {(r.doc_id, round(r.probability, 5)) for r in quality.classify(nasty, net).collect()}
@@ -221,21 +255,75 @@ def test_mix_nasty_and_empty(nasty, none):
 # ---- packing
 
 
+def plain_best_fit(sizes_, capacity):
+    """Bins as lists of places; among the open bins that an item fits best, the one that was filled to that level last."""
+    bins, spaces, since = [], [], []
+    for i, size in enumerate(sizes_):
+        fits = [k for k, space in enumerate(spaces) if space >= size]
+        if fits:
+            k = min(fits, key=lambda k: (spaces[k], -since[k]))
+            bins[k].append(i)
+            spaces[k] -= size
+        else:
+            k = len(bins)
+            bins.append([i])
+            spaces.append(capacity - size)
+            since.append(0)
+        since[k] = i
+    return bins
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 20), max_size=60))
 def test_best_fit_is_best_fit(sizes_):
-    bins, fills = [], []
-    for i, s in enumerate(sizes_):
-        fits = [(20 - f, k) for k, f in enumerate(fills) if 20 - f >= s]
-        if fits:
-            least = min(fits)[0]
-            fills[next(k for f, k in fits if f == least)] += s
-        else:
-            fills.append(s)
-    got = packing.best_fit(sizes_, 20)
-    assert sorted(i for b in got for i in b) == list(range(len(sizes_)))
-    assert sorted(sum(sizes_[i] for i in b) for b in got) == sorted(fills) or len(got) == len(fills)
-    assert all(sum(sizes_[i] for i in b) <= 20 for b in got)
+    assert packing.best_fit(sizes_, 20) == plain_best_fit(sizes_, 20)
+
+
+def plain_pack(rows, capacity, leaf_items, fan_in):
+    """The whole hierarchy, plainly: rows in the order of their numbers; sets of bins as sorted pieces."""
+    import xxhash
+
+    def node(key, nodes):
+        h = xxhash.xxh64_intdigest((key & (1 << 64) - 1).to_bytes(8, "little"), 42)
+        return (h - (1 << 64) if h >> 63 else h) % nodes
+
+    out, items, number = [], [], 0
+    for i, t in rows:
+        n = tokens(t)
+        for start in range(0, n, capacity):
+            piece = (i, start, min(capacity, n - start))
+            if piece[2] == capacity:
+                out.append([piece])
+            else:
+                items.append((number, [piece], piece[2]))
+            number += 1
+    before, nodes, level = len(items), max(1, -(-len(items) // leaf_items)), 0
+    while True:
+        done, under = [], []
+        for own in range(nodes):
+            mine = sorted((x for x in items if node(x[0], nodes) == own), key=lambda x: (-x[2], x[1][0][0] is None, x[1][0][0] or 0, x[1][0][1], x[0]))
+            for k, b in enumerate(plain_best_fit([x[2] for x in mine], capacity)):
+                pieces = [p for i in b for p in mine[i][1]]
+                fill_ = sum(p[2] for p in pieces)
+                full = nodes == 1 or fill_ >= packing.FULL[min(level, 4)] * capacity
+                (done if full else under).append(((level << 58) | (own << 26) | k, pieces, fill_))
+        out += [pieces for _, pieces, _ in done]
+        wide = max(-(-nodes // fan_in), -(-len(under) // (fan_in * leaf_items)))
+        if not under or (level and wide >= nodes and len(under) > before * (1 - 1 / packing.STALLED)):
+            return sorted((sorted(x, key=repr) for x in out + [pieces for _, pieces, _ in under]), key=repr)
+        least = min(f for *_, f in under)
+        out += [pieces for _, pieces, f in under if capacity - f < least]
+        items = [x for x in under if capacity - x[2] >= least]
+        nodes, before, level = wide, len(under), level + 1
+
+
+@pytest.mark.parametrize(("leaf", "fan_in", "choices"), [(10, 3, [1, 3, 9, 20, 31, 32, 33, 64, 200]), (40, 2, [17, 18, 19, 3]), (7, 4, [17, 17, 17, 2]), (1000, 2, [5, 40])])
+def test_the_whole_hierarchy_against_a_plain_version(docs_of, leaf, fan_in, choices):
+    r = random.Random(leaf)
+    rows = [(i if i % 5 else None, "w " * r.choice(choices)) for i in range(300)]
+    bins = packing.pack(docs_of([(i, t, "s") for i, t in rows]).coalesce(1), capacity=32, leaf_items=leaf, fan_in=fan_in).collect()
+    got = sorted((sorted(zip(b.doc_ids, b.starts, b.lengths), key=repr) for b in bins), key=repr)
+    assert got == plain_pack(rows, 32, leaf, fan_in)
 
 
 def covered(bins, capacity):
@@ -274,11 +362,23 @@ def test_pack_nasty_and_empty(nasty, none):
     assert packing.pack(none).count() == 0
 
 
-def test_pack_carries_no_more_than_its_bound(monkeypatch, docs_of):
-    monkeypatch.setattr(packing, "CARRY", 5)
-    table = pa.table({"doc_ids": [[i] for i in range(100)], "starts": [[0]] * 100, "lengths": [[17]] * 100, "tokens": [17] * 100, "node": [0] * 100})
-    out = packing._pack(table, 32, 0, False)
-    assert out.num_rows == 100 and out.column("emitted").to_pylist().count(False) == 5
+def test_no_bin_that_could_be_filled_leaves_before_the_root(spark):
+    """Leaves of two documents of 0.56 or 0.4 bins: over 4,096 underfull bins go up, and the root alone emits any that another would fit."""
+    docs = spark.range(14_000).selectExpr("id AS doc_id", "repeat('w ', if(id % 7 = 0, 13, 18)) AS text")
+    bins = packing.pack(docs, capacity=32, leaf_items=2, fan_in=10_000).collect()
+    assert len(covered(bins, 32)) == 14_000
+    early = [b.tokens for b in bins if b.bin_id >> 58 == 0]
+    assert len(bins) - len(early) > 4_096 and all(32 - t < 13 for t in early)
+    assert sum(b.tokens == 18 for b in bins) == sum(n == 18 for b in bins for n in b.lengths) - sum(b.tokens == 31 for b in bins)
+    assert sum(b.tokens == 13 for b in bins) <= 1
+
+
+def test_many_rows_without_an_id_are_spread(spark):
+    docs = spark.range(4_000).selectExpr("cast(null AS bigint) AS doc_id", "repeat('w ', 5) AS text")
+    bins = packing.pack(docs, capacity=32, leaf_items=200).collect()
+    assert sum(b.tokens for b in bins) == 20_000 and len(bins) <= 670
+    leaves = {(b.bin_id >> 26) % (1 << 32) for b in bins if b.bin_id >= 0 and b.bin_id >> 58 == 0}
+    assert len(leaves) > 10
 
 
 def test_op10_against_sql(compare):
