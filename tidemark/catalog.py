@@ -13,12 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import codec
-from .functions.tags import address, tag_table, tagvalues
-from .model import COLUMNS, complete
+from .functions.tags import address, first_value, tag_table, tagvalues
+from .model import COLUMNS, EVENT_SCHEMA, complete
 from .operators import counts, search, sync, tagtable, writes
 from .plans.filters import Filter
 from .plans.predicates import Modes, matching
-from .plans.query import Limits, page_before, query, query_any
+from .plans.query import Limits, page_after, page_before, query, query_any, query_profile
 
 VIEW = """
 SELECT sha2(cast(event_id AS string), 256) id, sha2(concat('u', cast(user_id AS string)), 256) pubkey,
@@ -67,6 +67,8 @@ IDS = [_id(n) for n in (3, 77, 501, 999999999)]
 AUTHORS = [_user(n) for n in range(1, 21)]
 SINCE, UNTIL = 1704500000, 1705500000
 
+_coarse = lambda ev: ev.withColumn("created_at", F.expr("created_at div 86400 * 86400"))
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -112,6 +114,9 @@ _top("limit_zero", Filter(limit=0), "true", 0)
 _top("limit_clamped", Filter(kinds=(7,), limit=5000), "kind = 7", 500)
 _top("limit_over_default", Filter(kinds=(7,), limit=5000), "kind = 7", 250, limits=Limits(1000, 250, 250))
 _top("sync_session", Filter(kinds=(7,), limit=5000), "kind = 7", 5000, sync_session=True)
+_add("order_time", lambda ev: query(ev, Filter(kinds=(1,), limit=200), by="time").select("created_at"), "SELECT created_at FROM ev WHERE kind = 1 ORDER BY created_at DESC LIMIT 200")
+_LAST = (1705500000, "8" * 64)
+_add("page_after", lambda ev: shown(query(page_after(_coarse(ev), *_LAST), Filter(limit=50))), f", c AS (SELECT * REPLACE (created_at // 86400 * 86400 AS created_at) FROM ev) {SHOWN.replace('FROM ev', 'FROM c')} WHERE created_at < {_LAST[0]} OR (created_at = {_LAST[0]} AND id > '{_LAST[1]}') ORDER BY created_at DESC, id LIMIT 50")
 _top("page_until", page_before(Filter(limit=50), UNTIL), f"created_at <= {UNTIL - 1}", 50)
 _add(
     "multi_filter",
@@ -135,6 +140,7 @@ _search("search_substring_nocase", "THE", "substring_nocase", "contains(lower(co
 _search("search_all_terms", "The and, of", "all_terms", f"list_has_all({SQL_TOKENS}, ['the', 'and', 'of'])")
 _search("search_any_term", "menté que", "any_term", f"kind <> 4 AND list_has_any({SQL_TOKENS}, ['menté', 'que'])")
 _search("search_regex", "th[ae]t? ", "regex", "regexp_matches(content, 'th[ae]t? ')")
+_add("search_max_text", lambda ev: matching(ev, Filter(search="the of"), Modes(max_text=120)).select("id", "kind"), f"{_FOUND} WHERE list_has_all({SQL_TOKENS.replace('content', 'left(content, 120)')}, ['the', 'of'])", **_docs)
 _search("search_disabled", "the", "disabled", "false")
 _BM25 = f""", w AS (SELECT id, {SQL_TOKENS} AS ws FROM ev), n AS (SELECT count(*) AS docs, avg(len(ws)) AS average FROM w),
  h AS (SELECT id, len(ws) AS size, q.term, len(list_filter(ws, lambda x: x = q.term)) AS tf FROM w, (VALUES ('that'), ('thing'), ('que')) q(term)),
@@ -144,11 +150,25 @@ _BM25 = f""", w AS (SELECT id, {SQL_TOKENS} AS ws FROM ev), n AS (SELECT count(*
 """
 _ranked = lambda ev: search.ranked(search.build_index(ev), search.corpus_size(ev), "That thing, que", 40)
 _add("search_ranked", _ranked, f"{_BM25} SELECT id, score FROM s ORDER BY score DESC, id LIMIT 40", **_docs)
+# The same texts in full-width letters, which the normal form folds back.
+_LETTERS = ("abcdefghijklmnopqrstuvwxyz", "".join(chr(0xFF41 + k) for k in range(26)))
+_full_width = lambda ev: ev.withColumn("content", F.translate("content", *_LETTERS))
+_add("search_nfkc", lambda ev: search.ranked(search.build_index(_full_width(ev), normalise=True), search.corpus_size(ev), "That thing, que", 40), f"{_BM25} SELECT id, score FROM s ORDER BY score DESC, id LIMIT 40", **_docs)
 _add(
     "hits_join_raw", lambda ev: search.with_events(_ranked(ev), ev.where("kind <> 4")).select("id", "pubkey", "created_at", "score"),
     f"{_BM25} SELECT id, pubkey, created_at, score FROM (SELECT * FROM s ORDER BY score DESC, id LIMIT 40) JOIN ev USING (id) WHERE kind <> 4", **_docs,
 )
 
+# ---- the semantics of kinds of store: tag matching, limits and order by profile
+for _profile, _where, _limit, _by in (
+    ("kv", _has("t", "click"), 250, "id DESC"), ("memory", _has("t", "click"), 500, "id DESC"), ("sql", _has("t", "click"), 100, "id"), ("sql_embedded", "contains(cast(to_json(tags) AS varchar), 'click')", 100, "id"),
+    ("sql_json", "list_contains(tags, ['t', 'click'])", 100, "id"), ("wide_rows", "contains(cast(to_json(tags) AS varchar), '[\"t\",\"click\"]')", 100, "id"), ("search_engine", "list_has_any(flatten(tags), ['click', 't'])", 1000, "id"), ("text_index", _has("t", "click"), 40, "id"),
+):
+    _add(
+        f"profile_{_profile}", lambda ev, p=_profile: shown(query_profile(ev, Filter(tags={"t": ("click",)}), p)),
+        f"{SHOWN} WHERE {_where} ORDER BY created_at DESC, {_by} LIMIT {_limit}",
+    )
+
 # ---- counts
 _add("count_filter", lambda ev: counts.count(ev, Filter(kinds=(1,), tags={"d": ("3",)})), f"SELECT count(*) AS n FROM ev WHERE kind = 1 AND {_has('d', '3')}")
 _add("count_no_limit", lambda ev: counts.count(ev, Filter(kinds=(7,), limit=5)), "SELECT count(*) AS n FROM ev WHERE kind = 7")
@@ -163,9 +183,13 @@ _add(
     f", r AS ({_SQL_REGISTERS}), s AS (SELECT 256.0 - count(*) AS e, sum(2.0 ** -rank) AS s FROM r), w AS (SELECT e, 0.7213 / (1 + 1.079 / 256) * 256 * 256 / (s + e) AS raw FROM s) "
     "SELECT cast(round(CASE WHEN raw <= 640 AND e > 0 THEN 256 * ln(256 / e) ELSE raw END) AS bigint) AS authors FROM w",
 )
+# References with many authors and events, in both halves that are merged, by kinds that refer by different tags.
+_BY_TAG = {1: "d", 7: "d", 0: "client", 30023: "p"}
 _add(
-    "hll_cache_by_ref", lambda ev: counts.merge_sketches(counts.author_sketches(ev.where("created_at % 2 = 0")), counts.author_sketches(ev.where("created_at % 2 = 1"))).select("kind", "ref", "n", F.hll_sketch_estimate("sketch").alias("authors")),
-    "SELECT kind, ref, count(*) AS n, count(DISTINCT pubkey) AS authors FROM (SELECT DISTINCT id, kind, pubkey, t[2] AS ref FROM (SELECT id, kind, pubkey, unnest(tags) AS t FROM ev WHERE kind = 7) WHERE t[1] = 'e') GROUP BY kind, ref",
+    "hll_cache_by_ref",
+    lambda ev: counts.merge_sketches(counts.author_sketches(ev.where("created_at % 2 = 0"), _BY_TAG), counts.author_sketches(ev.where("created_at % 2 = 1"), _BY_TAG)).select("kind", "ref", "n", F.hll_sketch_estimate("sketch").alias("authors")),
+    "SELECT kind, ref, count(*) AS n, count(DISTINCT pubkey) AS authors FROM (SELECT DISTINCT id, kind, pubkey, t[2] AS ref FROM (SELECT id, kind, pubkey, unnest(tags) AS t FROM ev) "
+    f"WHERE {' OR '.join(f'(kind = {k} AND t[1] = {v!r})' for k, v in _BY_TAG.items())}) GROUP BY kind, ref",
 )
 
 # ---- writes: the table is what came before a moment, the batch what came from some time before it on
@@ -178,7 +202,6 @@ _add("save_inserted", lambda ev: writes.save(_old(ev), _new(ev)).inserted.select
 _add("save_duplicates", lambda ev: writes.save(_old(ev), _new(ev)).duplicates.select("id"), f"SELECT id FROM ev WHERE created_at >= {_FROM} AND created_at < {_BEFORE}")
 _add("replace_latest", lambda ev: writes.latest(ev.where("kind = 0")).select("id"), _SQL_LATEST.format("ev WHERE kind = 0"))
 _add("replace_addressable", lambda ev: writes.latest(ev.where("kind = 30023")).select("id"), _SQL_LATEST.format("ev WHERE kind = 30023"))
-_coarse = lambda ev: ev.withColumn("created_at", F.expr("created_at div 86400 * 86400"))
 _add("replace_tie", lambda ev: writes.latest(_coarse(ev).where("kind = 0")).select("id"), _SQL_LATEST.format("(SELECT * REPLACE (created_at // 86400 AS created_at) FROM ev WHERE kind = 0)"))
 _add(
     "replace_batch", lambda ev: writes.replace(_old(ev), _new(ev)).select("id"),
@@ -189,11 +212,12 @@ _add(
     f", r AS ({_SQL_LATEST.format('ev WHERE kind IN (0, 30023)')}) SELECT id FROM r UNION ALL SELECT id FROM ev WHERE kind IN (1, 7)",
 )
 _add("delete_ids", lambda ev: writes.delete(ev, ev.where("kind = 7")).select("id"), "SELECT id FROM ev WHERE kind <> 7")
-for _n in (30, 100):
+#: The second over groups of authors that have over 100 events each.
+for _n, _width in ((30, 64), (100, 1)):
     _add(
-        f"retention_{_n}", lambda ev, n=_n: writes.retain(ev, n).select("id"),
-        ", r AS (SELECT *, row_number() OVER (PARTITION BY pubkey ORDER BY created_at DESC, id) AS rn FROM ev), "
-        f"th AS (SELECT pubkey, created_at AS c FROM r WHERE rn = {_n + 1}) SELECT ev.id FROM ev LEFT JOIN th ON ev.pubkey = th.pubkey WHERE th.c IS NULL OR ev.created_at >= th.c",
+        f"retention_{_n}", lambda ev, n=_n, w=_width: writes.retain(ev.withColumn("pubkey", F.left("pubkey", F.lit(w))), n).select("id"),
+        f", e AS (SELECT id, pubkey[:{_width}] AS pubkey, created_at FROM ev), r AS (SELECT *, row_number() OVER (PARTITION BY pubkey ORDER BY created_at DESC, id) AS rn FROM e), "
+        f"th AS (SELECT pubkey, created_at AS c FROM r WHERE rn = {_n + 1}) SELECT e.id FROM e LEFT JOIN th ON e.pubkey = th.pubkey WHERE th.c IS NULL OR e.created_at >= th.c",
     )
 _add("replace_content", lambda ev: writes.replace_same_content(ev.withColumn("kind", F.when(F.col("kind") == 1, 2).otherwise(F.col("kind")))).select("id"),
      "SELECT id FROM ev WHERE kind <> 1 UNION ALL SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY pubkey, content ORDER BY created_at DESC, id) AS r FROM ev WHERE kind = 1) WHERE r = 1")
@@ -205,17 +229,39 @@ _SQL_TAGS = "SELECT DISTINCT id, created_at, kind, pubkey, t[1] AS k, t[2] AS v
 _add("tag_index", tag_table, _SQL_TAGS)
 _by_tag = Filter(kinds=(1, 7), tags={"t": ("click",), "d": ("2",)})
 _add("tag_index_lookup", lambda ev: shown(matching(tagtable.through_tags(ev, tag_table(ev), _by_tag), _by_tag)), f"{SHOWN} WHERE kind IN (1, 7) AND {_has('t', 'click')} AND {_has('d', '2')}")
+_SQL_FIRST_D = "coalesce(list_filter(tags, lambda t: t[1] = 'd')[1][2], '')"
+# Of the five kinds one gives no number, one a value with a colon, and one a number that is too large.
 _add(
-    "addr_tag_parse", lambda ev: ev.select("id", address(F.concat_ws(":", F.when(F.col("kind") == 7, "x").otherwise(F.col("kind").cast("string")), "pubkey", "content")).alias("a")).select("id", F.col("a.kind").alias("a_kind"), F.col("a.d").alias("a_d")),
-    ", v AS (SELECT id, concat_ws(':', CASE WHEN kind = 7 THEN 'x' ELSE cast(kind AS varchar) END, pubkey, content) AS v FROM ev) "
-    "SELECT id, CASE WHEN regexp_full_match(v, '[0-9]{1,5}:[0-9a-f]{64}:[^:]*') THEN cast(split_part(v, ':', 1) AS integer) END AS a_kind, CASE WHEN regexp_full_match(v, '[0-9]{1,5}:[0-9a-f]{64}:[^:]*') THEN split_part(v, ':', 3) END AS a_d FROM v",
+    "addr_tag_parse",
+    lambda ev: ev.select(
+        "id",
+        address(F.concat_ws(":", F.when(F.col("kind") == 7, "x").when(F.col("kind") == 20001, "70001").otherwise(F.col("kind").cast("string")), "pubkey", F.concat(first_value("d"), F.when(F.col("kind") == 1, ":y").otherwise("")))).alias("a"),
+    ).select("id", F.col("a.kind").alias("a_kind"), F.col("a.pubkey").alias("a_pubkey"), F.col("a.d").alias("a_d")),
+    f", v AS (SELECT id, concat_ws(':', CASE kind WHEN 7 THEN 'x' WHEN 20001 THEN '70001' ELSE cast(kind AS varchar) END, pubkey, {_SQL_FIRST_D} || CASE kind WHEN 1 THEN ':y' ELSE '' END) AS v FROM ev), "
+    f"w AS (SELECT id, v, CASE WHEN regexp_full_match(v, '[0-9]{{1,5}}:[0-9a-f]{{64}}:[^:]*') THEN cast(split_part(v, ':', 1) AS integer) <= 65535 ELSE false END AS fits FROM v) "
+    "SELECT id, CASE WHEN fits THEN cast(split_part(v, ':', 1) AS integer) END AS a_kind, CASE WHEN fits THEN split_part(v, ':', 2) END AS a_pubkey, CASE WHEN fits THEN split_part(v, ':', 3) END AS a_d FROM w",
 )
-_add("codec_eligible", lambda ev: ev.where(codec.eligible()).select("id"), "SELECT id FROM ev WHERE octet_length(encode(content)) <= 65535 AND kind BETWEEN 0 AND 65535 AND len(tags) <= 65535")
+_broken = lambda ev: ev.select(  # noqa: E731 - some events break one bound each: content, item, items of a tag, tags, kind, time
+    "id", "pubkey", F.when(F.col("id").startswith("0"), F.lit(1 << 32)).otherwise(F.col("created_at")).alias("created_at"), F.when(F.col("id").startswith("1"), 65536 + F.col("kind")).otherwise(F.col("kind")).alias("kind"),
+    F.when(F.col("id").startswith("2"), F.array(F.array(F.lit("t"), F.repeat(F.lit("é"), F.lit(32768)))))
+    .when(F.col("id").startswith("3"), F.array(F.array_repeat(F.lit("t"), 256)))
+    .when(F.col("id").startswith("41"), F.array_repeat(F.array(F.lit("t")), 65536))
+    .when(F.col("id").startswith("5"), F.array(F.array(F.lit("t"), F.repeat(F.lit("x"), F.lit(65535))), F.array_repeat(F.lit("t"), 255))).otherwise(F.col("tags")).alias("tags"),
+    F.when(F.col("id").startswith("6"), F.repeat(F.lit("y"), F.lit(65536))).when(F.col("id").startswith("7"), F.repeat(F.lit("y"), F.lit(65535))).otherwise(F.col("content")).alias("content"), "sig",
+)
+_SQL_BROKEN = """, b AS (SELECT id, CASE WHEN id LIKE '0%' THEN 4294967296 ELSE created_at END AS created_at, CASE WHEN id LIKE '1%' THEN 65536 + kind ELSE kind END AS kind,
+ CASE WHEN id LIKE '2%' THEN [['t', repeat('é', 32768)]] WHEN id LIKE '3%' THEN [list_transform(range(256), lambda i: 't')] WHEN id LIKE '41%' THEN list_transform(range(65536), lambda i: ['t'])
+  WHEN id LIKE '5%' THEN [['t', repeat('x', 65535)], list_transform(range(255), lambda i: 't')] ELSE tags END AS tags,
+ CASE WHEN id LIKE '6%' THEN repeat('y', 65536) WHEN id LIKE '7%' THEN repeat('y', 65535) ELSE content END AS content FROM ev)"""
+_add("codec_eligible", lambda ev: _broken(ev).where(codec.eligible()).select("id"),
+     f"{_SQL_BROKEN} SELECT id FROM b WHERE octet_length(encode(content)) <= 65535 AND kind BETWEEN 0 AND 65535 AND created_at BETWEEN 0 AND 4294967295 AND len(tags) <= 65535 "
+     "AND len(list_filter(tags, lambda t: len(t) > 255 OR len(list_filter(t, lambda x: octet_length(encode(x)) > 65535)) > 0)) = 0")
 _add("codec_encode", lambda ev: ev.select("id", F.sha2(codec.encode(), 256).alias("h"), F.octet_length(codec.encode()).cast("bigint").alias("n")),
      """, e AS (SELECT id, unhex(id || pubkey || repeat('0', 128) || printf('%08x', created_at) || printf('%04x', kind) || printf('%04x', octet_length(encode(content))) || hex(encode(content)) || printf('%04x', len(tags))
       || array_to_string(list_transform(tags, lambda t: printf('%02x', len(t)) || array_to_string(list_transform(t, lambda x: printf('%04x', octet_length(encode(x))) || hex(encode(x)) || '00'), '')), '')) AS b FROM ev)
       SELECT id, sha256(b) AS h, cast(octet_length(b) AS bigint) AS n FROM e""")
 _add("codec_roundtrip", lambda ev: shown(ev.select(codec.decode(codec.encode()).alias("e")).select("e.*")), SHOWN)
+_add("jsonl_roundtrip", lambda ev: shown(complete(ev.select(F.to_json(F.struct(*COLUMNS)).alias("line")).select(F.from_json("line", EVENT_SCHEMA.simpleString()).alias("e")).select("e.*"))), SHOWN)
 _mine, _theirs = (lambda ev: ev.where("kind IN (0, 1, 7)")), (lambda ev: ev.where("kind IN (7, 30023)"))
 _add("reconcile_have", lambda ev: sync.have(_mine(ev), _theirs(ev)), "SELECT created_at, id FROM ev WHERE kind IN (0, 1)")
 _add("reconcile_need", lambda ev: sync.need(_mine(ev), _theirs(ev)), "SELECT created_at, id FROM ev WHERE kind = 30023")

@@ -2,7 +2,8 @@
 
 Arguments come from the command line or, without one, from standard input, a line each. A line that can't be used is
 reported on standard error and the others go on; the exit status is then 123. Without a command, each line is published
-if it is an event and queried if it is a filter.
+if it is an event and queried if it is a filter. Lines to save, publish or delete that follow each other are written in
+batches of ``--batch``. ``decode`` prints events from their binary form in hexadecimal.
 """
 
 from __future__ import annotations
@@ -14,13 +15,16 @@ from collections.abc import Iterable
 
 from pyspark.sql import SparkSession
 
+from .functions.codec import decode_text
+from .model import EVENT_SCHEMA
 from .operators import sync
 from .plans.filters import Filter, parse_envelope
 from .plans.query import Limits
-from .sources.formats import detect, from_lines, read_jdbc, to_lines
+from .sources.formats import NoDriver, detect, parse_lines, read_jdbc, to_lines
 from .sources.store import Store, FrameStore, NullStore, ParquetStore, jsonl_store
 
 FAILED = 123
+COMMANDS = ("query", "save", "delete", "neg", "decode")
 
 
 def open_store(spark: SparkSession, path: str, kind: str | None = None) -> Store:
@@ -33,13 +37,40 @@ def open_store(spark: SparkSession, path: str, kind: str | None = None) -> Store
         case "jsonl":
             return jsonl_store(spark, path, limits=limits, guards=None)
         case "jdbc" | "sqlite":
-            return FrameStore(read_jdbc(spark, path), limits=limits, guards=None)
+            try:
+                return FrameStore(read_jdbc(spark, path), limits=limits, guards=None)
+            except NoDriver as e:
+                raise SystemExit(f"{path}: {e}") from e
         case "null":
             return NullStore(spark)
     raise SystemExit(f"can't tell what {path} is; give --type")
 
 
-def run(spark: SparkSession, store: Store, command: str | None, lines: Iterable[str], out=None, err=None) -> int:
+def _save(spark: SparkSession, store: Store, lines: list[str], publish: bool, fail) -> None:
+    """One write for all lines that hold an event. Saving reports the lines whose event was there already."""
+    held = []
+    for line in lines:
+        events, bad = parse_lines([line])
+        if bad:
+            fail(line, "not an event")
+        else:
+            held.append((line, events[0]))
+    if not held:
+        return
+    if publish:
+        return store.publish(spark.createDataFrame([e for _, e in held], EVENT_SCHEMA))
+    known, fresh = store.known([e[0] for _, e in held]), []
+    for line, event in held:
+        if event[0] in known:
+            fail(line, "DuplicateEvent")
+        else:
+            known.add(event[0])
+            fresh.append(event)
+    if fresh:
+        store.save(spark.createDataFrame(fresh, EVENT_SCHEMA))
+
+
+def run(spark: SparkSession, store: Store, command: str | None, lines: Iterable[str], out=None, err=None, batch: int = 1000) -> int:
     out, err = out or sys.stdout, err or sys.stderr
     failed = False
 
@@ -48,40 +79,70 @@ def run(spark: SparkSession, store: Store, command: str | None, lines: Iterable[
         failed = True
         print(f"{line.strip()[:200]}: {why}", file=err)
 
-    def save(line: str, publish: bool) -> None:
-        events, bad = from_lines(spark, [line])
-        if bad:
-            return fail(line, "not an event")
-        if publish:
-            store.publish(events)
-        else:
-            store.save(events, strict=True)
-
     def show(f: Filter) -> None:
         for event in to_lines(store.query(f)):
             print(event, file=out)
 
-    for line in lines:
-        if not line.strip():
-            continue
+    def write(kind: str, held: list[str]) -> None:
         try:
-            match command:
-                case "query":
-                    show(Filter.parse(line))
-                case "save":
-                    save(line, publish=False)
-                case "delete":
-                    ids = [json.loads(line)] if line.lstrip().startswith('"') else [line.strip()]
-                    store.delete(ids)
-                case None:
-                    kind, value = parse_envelope(line)
-                    if kind == "event":
-                        save(json.dumps(value), publish=True)
-                    else:
-                        for f in value:
-                            show(f)
+            if kind == "delete":
+                store.delete([json.loads(x) if x.lstrip().startswith('"') else x.strip() for x in held])
+            else:
+                _save(spark, store, held, kind == "publish", fail)
+        except Exception as e:  # noqa: BLE001 - reported, and the other lines go on
+            if len(held) > 1:  # find the ones that fail
+                for line in held:
+                    write(kind, [line])
+            else:
+                fail(held[0], type(e).__name__ + ": " + str(e)[:300])
+
+    def read(line: str, f) -> None:
+        try:
+            for one in f(line):
+                show(one)
         except Exception as e:  # noqa: BLE001 - reported, and the other lines go on
             fail(line, type(e).__name__ + ": " + str(e)[:300])
+
+    held: list[str] = []
+    kind = {"save": "save", "delete": "delete", None: "publish"}.get(command)
+    for line in lines:
+        if not line.strip():
+            continue
+        if command == "query":
+            read(line, lambda x: [Filter.parse(x)])
+            continue
+        if command is None:
+            try:
+                what, value = parse_envelope(line)
+            except Exception as e:  # noqa: BLE001 - reported, and the other lines go on
+                fail(line, type(e).__name__ + ": " + str(e)[:300])
+                continue
+            if what == "filters":
+                if held:  # a query sees what came before it
+                    write(kind, held)
+                    held = []
+                read(line, lambda _, value=value: value)
+                continue
+            line = json.dumps(value)
+        held.append(line)
+        if len(held) == batch:
+            write(kind, held)
+            held = []
+    if held:
+        write(kind, held)
+    return FAILED if failed else 0
+
+
+def decode(lines: Iterable[str], out=None, err=None) -> int:
+    """Prints the event of each line's binary form."""
+    out, err, failed = out or sys.stdout, err or sys.stderr, False
+    for line in lines:
+        if line.strip():
+            try:
+                print(json.dumps(decode_text(line), ensure_ascii=False), file=out)
+            except Exception as e:  # noqa: BLE001 - reported, and the other lines go on
+                failed = True
+                print(f"{line.strip()[:200]}: {type(e).__name__}", file=err)
     return FAILED if failed else 0
 
 
@@ -99,17 +160,20 @@ def reconcile(spark: SparkSession, store: Store, f: str, items: Iterable[str], o
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     parser = argparse.ArgumentParser(prog="tidemark", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
-    parser.add_argument("-d", "--store", required=True)
+    parser.add_argument("-d", "--store", default="null:")
     parser.add_argument("-t", "--type", choices=["snapshots", "parquet", "jsonl", "jdbc", "sqlite", "null"])
-    parser.add_argument("command", nargs="?", help="query, save, delete, neg; or a line to publish or query")
+    parser.add_argument("--batch", type=int, default=1000, help="lines to write at a time")
+    parser.add_argument("command", nargs="?", help="query, save, delete, neg, decode; or a line to publish or query")
     parser.add_argument("argument", nargs="?")
     a = parser.parse_args(argv)
-    command, argument = (a.command, a.argument) if a.command in ("query", "save", "delete", "neg") else (None, a.command)
+    command, argument = (a.command, a.argument) if a.command in COMMANDS else (None, a.command)
+    if command == "decode":
+        return decode([argument] if argument else sys.stdin)
     spark = spark or SparkSession.builder.appName("tidemark").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     store = open_store(spark, a.store, a.type)
     try:
         if command == "neg":
             return reconcile(spark, store, argument or "{}", sys.stdin)
-        return run(spark, store, command, [argument] if argument else sys.stdin)
+        return run(spark, store, command, [argument] if argument else sys.stdin, batch=a.batch)
     finally:
         store.close()

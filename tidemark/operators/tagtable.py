@@ -7,31 +7,42 @@ from pyspark.sql import functions as F
 
 from ..plans.filters import Filter
 
-#: How selective a tag key usually is; higher is better. Keys that aren't named count 0.
-SELECTIVITY = {"e": 9, "E": 9, "q": 9, "a": 8, "A": 8, "i": 8, "I": 8, "g": 8, "r": 8, "d": 7, "h": 6, "t": 6, "l": 6, "k": 6, "K": 6, "p": 2, "P": 2}
-
-
-def narrowest(f: Filter, weak: int = 3) -> str | None:
-    """The key to look up by; None if the only keys are weak and other predicates narrow the search already."""
-    fits = {k: v for k, v in f.tags.items() if len(k) == 1 and all(1 <= len(x) <= 100 for x in v)}
-    if not fits:
-        return None
-    # Among equally selective keys, fewer values; the name settles what is left.
-    best = min(fits, key=lambda k: (-SELECTIVITY.get(k, 0), len(fits[k]), k))
-    score = SELECTIVITY.get(best, 0) - (3 if best == "d" and not (f.authors and f.kinds) else 0)
-    return None if score < weak and (f.authors or f.kinds) else best
-
-
-def through_tags(events: DataFrame, tags: DataFrame, f: Filter) -> DataFrame:
-    """Events that the tag table finds for the filter's narrowest key; all of them where it can't help."""
-    key = narrowest(f)
-    if key is None:
-        return events
-    hits = tags.where((F.col("k") == key) & F.col("v").isin(*f.tags[key]))
+MAX_VALUE = 100
+
+
+def usable(f: Filter) -> list[str]:
+    """The tag keys of a filter that the tag table has: of one letter, with values of 1 to 100 characters."""
+    return sorted(k for k, v in f.tags.items() if len(k) == 1 and all(1 <= len(x) <= MAX_VALUE for x in v))
+
+
+def hits(tags: DataFrame, f: Filter, key: str) -> DataFrame:
+    """The tag table's rows for one key of the filter, narrowed by what else it says of them."""
+    out = tags.where((F.col("k") == key) & F.col("v").isin(*f.tags[key]))
     if f.kinds:
-        hits = hits.where(F.col("kind").isin(*f.kinds))
+        out = out.where(F.col("kind").isin(*f.kinds))
     if f.since is not None:
-        hits = hits.where(F.col("created_at") >= f.since)
+        out = out.where(F.col("created_at") >= f.since)
     if f.until is not None:
-        hits = hits.where(F.col("created_at") <= f.until)
-    return events.join(hits.select("id"), "id", "left_semi")
+        out = out.where(F.col("created_at") <= f.until)
+    return out
+
+
+def narrowest(tags: DataFrame, f: Filter) -> str | None:
+    """The key with the fewest hits, which are counted where there is a choice; None if the table can't help.
+
+    In a table sorted by key and value a count reads only the row groups that hold them.
+    """
+    keys = usable(f)
+    if len(keys) < 2:
+        return keys[0] if keys else None
+    parts = [hits(tags, f, k).agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("k"), "n") for k in keys]
+    union = parts[0]
+    for part in parts[1:]:
+        union = union.unionByName(part)
+    return min(union.collect(), key=lambda r: (r["n"], r["k"]))["k"]  # a row for each key of the filter
+
+
+def through_tags(events: DataFrame, tags: DataFrame, f: Filter, key: str | None = None) -> DataFrame:
+    """Events that the tag table finds for one key (the filter's narrowest); all of them where it can't help."""
+    key = key or narrowest(tags, f)
+    return events if key is None else events.join(hits(tags, f, key).select("id"), "id", "left_semi")

@@ -28,12 +28,21 @@ def validated(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.where(fine), rows.where(~fine)
 
 
-def save(events: DataFrame, batch: DataFrame, skip: Column | None = None) -> Saved:
-    """Adds the events whose id is new. ``skip`` drops events before they are looked at."""
+def known_ids(events: DataFrame, batch: DataFrame, small: bool = False) -> DataFrame:
+    """The batch's ids that the table has. With ``small``, the batch's ids are broadcast and the table is not shuffled."""
+    own = batch.select("id")
+    return events.select("id").join(F.broadcast(own) if small else own, "id", "left_semi").distinct()
+
+
+def save(events: DataFrame, batch: DataFrame, skip: Column | None = None, small: bool = False) -> Saved:
+    """Adds the events whose id is new. ``skip`` drops events before they are looked at; ``small`` says that the batch's
+    ids may be broadcast, which a store knows by counting it."""
     good, rejected = validated(batch if skip is None else batch.where(~F.coalesce(skip, F.lit(False))))
     once = good.dropDuplicates(["id"])
-    new = once.join(events.select("id"), "id", "left_anti").select(*events.columns)
-    known = once.join(events.select("id"), "id", "left_semi").select(*events.columns)
+    # Known ids are at most as many as the batch's: only they, not the table's, meet the batch.
+    marked = once.join(known_ids(events, once, small).withColumn("__known", F.lit(True)), "id", "left")
+    new = marked.where("__known is null").select(*events.columns)
+    known = marked.where("__known").select(*events.columns)
     return Saved(events.unionByName(new), new, known, rejected)
 
 

@@ -13,8 +13,8 @@ from ..functions import tags as tg
 from ..functions.text import tokenise, tokens
 from .filters import Filter
 
-#: Lists longer than this become a semi-join against a broadcast table of as many rows as the filter has values.
-LONG_LIST = 1000
+#: Lists longer than this become a semi-join, which is broadcast up to MOST_BROADCAST values (of about 80 bytes each).
+LONG_LIST, MOST_BROADCAST = 1000, 250_000
 
 
 @dataclass(frozen=True)
@@ -92,5 +92,5 @@ def matching(events: DataFrame, f: Filter, modes: Modes = Modes()) -> DataFrame:
     for column, values in (("id", f.ids), ("pubkey", f.authors)):
         if len(values) > LONG_LIST:
             wanted = events.sparkSession.createDataFrame([(v,) for v in dict.fromkeys(values)], f"{column} string")
-            out = out.join(F.broadcast(wanted), column, "left_semi")  # as many rows as the filter that the caller holds
+            out = out.join(F.broadcast(wanted) if len(values) <= MOST_BROADCAST else wanted, column, "left_semi")
     return out

@@ -55,9 +55,9 @@ def order(by: str = "id_asc") -> list[Column]:
     return {"id_asc": [newest, F.asc("id")], "id_desc": [newest, F.desc("id")], "time": [newest]}[by]
 
 
-def query(events: DataFrame, f: Filter, modes: Modes = Modes(), limits: Limits = Limits(), by: str = "id_asc", guards: Guards | None = Guards(), sync_session: bool = False) -> DataFrame:
+def query(events: DataFrame, f: Filter, modes: Modes = Modes(), limits: Limits = Limits(), by: str = "id_asc", guards: Guards | None = Guards(), sync_session: bool = False, strict_hex: bool = False) -> DataFrame:
     """The newest matching events."""
-    rows = limits.rows(f.check(guards).limit, sync_session)
+    rows = limits.rows(f.check(guards, strict_hex).limit, sync_session)
     return matching(events, f, modes).select(*COLUMNS).orderBy(*order(by)).limit(rows)
 
 
@@ -81,3 +81,9 @@ def query_any(events: DataFrame, filters: list[Filter], modes: Modes = Modes(),
 def page_before(f: Filter, last_time: int) -> Filter:
     """The filter for what is older than a page's last event."""
     return Filter(**{**f.__dict__, "until": last_time - 1 if f.until is None else min(f.until, last_time - 1)})
+
+
+def page_after(events: DataFrame, last_time: int, last_id: str, by: str = "id_asc") -> DataFrame:
+    """The events that come after a page's last one in the order of ``query``: unlike ``page_before``, it keeps those that share its second."""
+    same = {"id_asc": F.col("id") > last_id, "id_desc": F.col("id") < last_id, "time": F.lit(False)}[by]
+    return events.where((F.col("created_at") < last_time) | ((F.col("created_at") == last_time) & same))
