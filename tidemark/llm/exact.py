@@ -1,6 +1,7 @@
 """Exact dedup by progressive refinement: byte length, then hash of a prefix, then hash of the whole text.
 
-Each step scans only what it needs and hands on the keys that at least two texts share. While the keys that remain fit
+One scan leaves length and prefix hash of each text; the first two steps group these and hand on the keys that at least two
+texts share. While the keys that remain fit
 a broadcast, which is counted first, the whole text is hashed, and moved, only where length and prefix both agree. Beyond that
 bound Spark shuffles: ``exact_copies`` then hashes every text, and moves the hash; ``drop_exact_copies`` moves every text once.
 Defined results:
@@ -8,7 +9,7 @@ Defined results:
 * two null texts are not copies: what a null holds is unknown; such rows stay;
 * empty texts are copies of each other; texts may be of any length;
 * of the rows with one text the one with the smallest doc_id stays (a null id is the largest); among repeated rows one;
-* an empty table gives an empty table; other columns, whatever their names, pass through.
+* ids are of any type that has an order; an empty table gives an empty table; other columns, whatever their names, pass through.
 """
 
 from __future__ import annotations
@@ -23,11 +24,11 @@ PREFIX_CHARS = 128
 KEY_BYTES = 24
 
 
-def _suspects(rows: DataFrame, prefix_chars: int) -> DataFrame:
-    """Stored keys (size, head) that at least two texts share."""
-    text = rows.where("text is not null").select(F.octet_length("text").alias("size"), F.xxhash64(F.substring("text", 1, prefix_chars)).alias("head"))
-    sizes = stored(text.groupBy("size").count().where("count > 1").select("size"), "sizes")
-    return stored(text.join(bounded_broadcast(sizes, 16), "size", "left_semi").groupBy("size", "head").count().where("count > 1").select("size", "head"), "heads")
+def _suspects(rows: DataFrame) -> DataFrame:
+    """Stored keys (size, head) that at least two texts share. The text column is read once; both steps then read the keys."""
+    keys = stored(rows.where("text is not null").select("size", "head"), "keys")
+    sizes = stored(keys.groupBy("size").count().where("count > 1").select("size"), "sizes")
+    return stored(keys.join(bounded_broadcast(sizes, 16), "size", "left_semi").groupBy("size", "head").count().where("count > 1").select("size", "head"), "heads")
 
 
 def _keyed(docs: DataFrame, text: str, id_col: str, prefix_chars: int) -> DataFrame:
@@ -43,7 +44,7 @@ def _keyed(docs: DataFrame, text: str, id_col: str, prefix_chars: int) -> DataFr
 def exact_copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id", prefix_chars: int = PREFIX_CHARS) -> DataFrame:
     """A row for each document whose text occurs again: its id, the id that stays for the text, and how many rows have it."""
     rows = _keyed(docs, text, id_col, prefix_chars)
-    keys = _suspects(rows, prefix_chars)
+    keys = _suspects(rows)
     hashed = F.unhex(F.sha2("text", 256)).alias("full")
     if fits(keys, KEY_BYTES):
         full = rows.join(F.broadcast(keys), ["size", "head"], "left_semi").select("id", "size", hashed)
@@ -59,7 +60,7 @@ def exact_copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id", pr
 def drop_exact_copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id", prefix_chars: int = PREFIX_CHARS) -> DataFrame:
     """The documents with one row for each text."""
     rows = _keyed(docs, text, id_col, prefix_chars)
-    keys = _suspects(rows, prefix_chars)
+    keys = _suspects(rows)
     hashed = F.unhex(F.sha2("text", 256))
     by_id = F.col("id").asc_nulls_last()
     if fits(keys, KEY_BYTES):
