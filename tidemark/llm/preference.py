@@ -96,7 +96,7 @@ def _sql_text(turns: str) -> str:
 
 
 ORACLE = f"""
-WITH c AS (SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn, role, text) AS ts FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+WITH c AS (SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS ts FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
  p AS (SELECT *, list_filter(range(1, len(ts) + 1), lambda i: ts[i].role = '{TRAINED_ROLE}') AS own FROM c),
  q AS (SELECT conv_id, ts AS a, list_transform(range(1, len(ts) + 1), lambda i: {{'role': ts[i].role, 'text': CASE WHEN i = own[-1] THEN coalesce(ts[own[-2]].text, '') ELSE ts[i].text END}}) AS b FROM p),
  n AS (SELECT *, coalesce(list_min(list_filter(range(1, len(a) + 1), lambda i: a[i].role <> b[i].role OR a[i].text <> b[i].text)) - 1, len(a)) AS n FROM q),

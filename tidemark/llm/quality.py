@@ -6,7 +6,7 @@ logistic unit that gives one probability. The network is trained on the driver,
 labelled documents (a documented bound; the choice is by a hash of the id); scoring reads every document whole, in
 batches of chunks of bounded size. Defined results:
 
-* a null or empty text has probability 0; texts may be of any length; repeated rows are scored each;
+* ids are integers; a null or empty text has probability 0; texts may be of any length; repeated rows are scored each;
 * labelled rows without a text or a label, or with an id that no document has, are not trained on;
 * with no labels, or only one kind, the probability is the share of good labels (0.5 with none) for every text;
 * an empty table gives an empty table; other columns are not read.
