@@ -312,6 +312,16 @@ def test_repeats_at_other_lengths(docs_of, threshold, seed):
     assert spans(got) == brute_spans(rows, threshold)
 
 
+def test_repeats_without_broadcast(spark, nasty, monkeypatch):
+    rows = [(r.doc_id, r.text) for r in nasty.select("doc_id", "text").collect()]
+    monkeypatch.setattr(repeats, "bounded_broadcast", lambda df, size: df)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert spans(repeats.repeated_spans(nasty)) == brute_spans(rows, 50)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_rounds_double_to_the_threshold():
     assert repeats._lengths(50, repeats.SEED) == [7, 14, 28, 50] and repeats._lengths(40, 1) == [1, 2, 4, 8, 16, 32, 40]
 

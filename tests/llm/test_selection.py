@@ -243,6 +243,85 @@ def test_mix_meets_the_weights(docs_of, weights):
     assert {r.doc_id for r in sample.select("doc_id").collect()} == {r.doc_id for r in mixing.mix(docs, weights).select("doc_id").collect()}
 
 
+class PlainFlight:
+    """The cube method with a null space from singular vectors, over units (name, p, tokens) of which three at most are open."""
+
+    def __init__(self):
+        self.units, self.chosen = [], []
+
+    def move(self, v, u):
+        up = min((1 - p) / x if x > 0 else -p / x for (_, p, _), x in zip(self.units, v) if abs(x) > 1e-12)
+        down = min(p / x if x > 0 else (p - 1) / x for (_, p, _), x in zip(self.units, v) if abs(x) > 1e-12)
+        step = up if u < down / (up + down) else -down
+        moved = [(name, p + step * x, t) for (name, p, t), x in zip(self.units, v)]
+        self.chosen += [name for name, p, _ in moved if p >= 1 - 1e-9]
+        self.units = [m for m in moved if 1e-9 < m[1] < 1 - 1e-9]
+
+    def add(self, name, p, t, u):
+        if p >= 1 - 1e-9:
+            self.chosen.append(name)
+        elif p > 1e-9:
+            self.units.append((name, p, t))
+        if len(self.units) == 3:
+            (_, _, a), (_, _, b), (_, _, c) = self.units
+            if a == b == c:
+                return self.move([1, -1, 0], u)
+            v = np.linalg.svd(np.array([[1, 1, 1], [a, b, c]], float))[2][2]
+            first = next(x for x in (c - b, a - c, b - a) if x)  # the sign of the direction is the operator's
+            lead = next(x for x, d in zip(v, (c - b, a - c, b - a)) if d)
+            self.move(v * (1 if lead * first > 0 else -1), u)
+
+
+def plain_mix(rows, seed, share):
+    import xxhash
+
+    draw = lambda i, t, s: xxhash.xxh64_intdigest(f"{i}/{float(t)}", s) / 2.0**64
+    totals = defaultdict(int)
+    for _, t, s in rows:
+        totals[s] += tokens(t)
+    p = fill(totals, {s: t**mixing.WEIGHT_POWER for s, t in totals.items()}, share * sum(totals.values()))
+    chosen, left = [], []
+    flights = defaultdict(PlainFlight)
+    for i, t, s in rows:
+        flights[s].add(i, p[s], tokens(t), draw(i, tokens(t), seed))
+    for s, flight in sorted(flights.items()):
+        chosen += flight.chosen
+        second = PlainFlight()
+        for i, q, t in sorted(flight.units, key=lambda x: (str(x[0]), x[2])):
+            second.add(i, q, t, draw(i, t, seed + 1))
+        chosen += second.chosen
+        left += second.units
+    last = PlainFlight()
+    for i, q, t in sorted(left, key=lambda x: (str(x[0]), x[2])):
+        last.add(i, q, t, draw(i, t, seed + 2))
+    while len(last.units) > 1:
+        i, _, t = last.units[0]
+        last.move([1, -1, 0][: len(last.units)], draw(i, t, seed + 3))
+    chosen += last.chosen + [i for i, q, t in last.units if draw(i, t, seed + 3) < q]
+    return sorted(chosen)
+
+
+@pytest.mark.parametrize("seed", [17, 18, 19])
+def test_mix_against_a_plain_cube(docs_of, seed):
+    r = random.Random(seed)
+    rows = [(i, prose(i, r.choice([1, 5, 5, 5, 30, 31, 90])), s) for i, s in enumerate(r.choices("abcd", [8, 4, 2, 1], k=260))]
+    got = mixing.mix(docs_of(rows).coalesce(1), seed=seed).select("doc_id").collect()
+    assert sorted(x.doc_id for x in got) == plain_mix(rows, seed, mixing.BUDGET_SHARE)
+
+
+def test_mix_without_broadcast(spark, docs_of, monkeypatch):
+    rows = [(i, prose(i, 1 + i % 40), "abc"[i % 3]) for i in range(90)]
+    want = sorted(x.doc_id for x in mixing.mix(docs_of(rows).coalesce(1), budget_share=1.0).select("doc_id").collect())
+    monkeypatch.setattr(mixing, "bounded_broadcast", lambda df, size: df)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(x.doc_id for x in mixing.mix(docs_of(rows), budget_share=1.0).select("doc_id").collect()) == want == list(range(90))
+        n = len(mixing.mix(docs_of(rows)).select("doc_id").collect())
+        assert abs(n - len(plain_mix(rows, mixing.SEED, mixing.BUDGET_SHARE))) <= 4
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_mix_nasty_and_empty(nasty, none):
     rows = Counter((r.doc_id, r.source, (r.text or "")[:40]) for r in nasty.collect())
     got = Counter((r.doc_id, r.source, (r.text or "")[:40]) for r in mixing.mix(nasty).collect())
