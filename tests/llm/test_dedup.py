@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidemark.llm import exact, jaccard, queries, repeats
 
@@ -335,9 +336,9 @@ def test_a_window_in_many_documents_takes_few_rows(spark):
 
 
 def test_texts_of_one_key_stay_apart(docs_of, monkeypatch):
-    monkeypatch.setattr(repeats, "_text_key", lambda text: F.lit(7).cast("bigint"))
-    a, b = prose(1, 120), prose(2, 90)
-    rows = [(1, a), (2, a + " " + b), (3, b), (4, prose(3, 200)), (5, a), (6, prose(4, 60))]
+    a, b, c, d = prose(1, 120), prose(2, 90), prose(3, 70), prose(4, 60)
+    monkeypatch.setattr(repeats, "_text_key", lambda text: F.when(text.startswith(a[:30]) | text.startswith(b[:30]), 1).otherwise(2).cast("bigint"))
+    rows = [(1, a), (2, c + " " + a), (3, b), (4, d + " " + b), (5, a), (6, c + " " + a)]
     assert spans(repeats.repeated_spans(docs_of([(i, t, "s") for i, t in rows]))) == brute_spans(rows, 50)
 
 
