@@ -143,11 +143,8 @@ def test_jaccard_at_other_thresholds(docs_of, threshold):
 
 def test_jaccard_with_every_bound_crossed(docs_of, monkeypatch):
     """Long lists by blocks, groups and partners in parts, small trees, tiles, and tables that are not broadcast."""
-    from tidemark.llm import common
-
     for name, value in (("LIST", 7), ("GROUP_CLASSES", 6), ("PARTNERS", 2), ("TREE_CLASSES", 5), ("TREE_GRAMS", 600), ("CELLS", 1 << 10)):
         monkeypatch.setattr(jaccard, name, value)
-    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
     monkeypatch.setattr(jaccard, "bounded_broadcast", lambda df, size: df)
     rows = clusters(5, [40, 30, 9, 9, 3, 2, 1, 1, 1] * 2, (20, 120))
     docs = docs_of([(i, t, "s") for i, t in rows])
