@@ -2,13 +2,14 @@
 
 import subprocess
 import sys
+from datetime import datetime, timedelta
 
 import pytest
 
 import __spark_entry__
 from tidemark import catalog
 
-from .conftest import SF
+from .conftest import SF, same
 
 
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
@@ -45,3 +46,27 @@ def test_top_k_and_pushdown_in_plans(spark, tmp_path):
 
     plan = count(ev, Filter(kinds=(1,)))._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<kind:int>" in plan
+
+
+def against_sql(spark, path, name, rows):
+    """The query and its SQL over an events table of these rows."""
+    import duckdb
+
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{path}/events.parquet")
+    c = duckdb.connect()
+    c.execute(f"SET timezone = 'UTC'; CREATE VIEW events AS SELECT * FROM read_parquet('{path}/events.parquet/*.parquet')")
+    same(catalog.QUERIES[name](spark, str(path)), c.execute(catalog.ORACLES[name]))
+
+
+T0 = datetime(2024, 1, 1)
+#: Events without a time, an author, an id, properties or a type, one before 1970, and one id at two times.
+ODD = [
+    (1, None, 1, "click", 0.0, '{"k": 1}'), (2, T0, None, "signup", 0.0, '{"k": 2}'), (None, T0, 3, "view", 0.0, '{"k": 3}'), (4, T0, 4, "click", 0.0, None), (5, T0, 5, None, 0.0, '{"j": 1}'),
+    (6, datetime(1969, 12, 31, 23, 59, 58), 6, "view", 0.0, '{"k": 4}'), (6, datetime(1969, 12, 31, 23, 59, 59), 6, "view", 0.0, '{"k": 4}'), (7, T0, 7, "click", 0.0, '{"k": 5}'), (7, T0 + timedelta(seconds=1), 7, "click", 0.0, '{"k": 5}'),
+]
+
+
+def test_authors_by_reference_are_counted_exactly(spark, tmp_path):
+    rows = [(k, T0 + timedelta(seconds=k), k % 3000, ("signup", "click")[k % 2], 0.0, f'{{"k": {k % 7}}}') for k in range(100, 9000)]
+    against_sql(spark, tmp_path / "many", "hll_cache_by_ref", rows)
+    against_sql(spark, tmp_path / "odd", "hll_cache_by_ref", ODD)

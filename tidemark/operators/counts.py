@@ -49,15 +49,25 @@ def estimate(rows: DataFrame) -> DataFrame:
     return agg.select(F.round(F.when((raw <= 2.5 * m) & (F.col("empty") > 0), F.lit(m) * F.log(F.lit(m) / F.greatest("empty", F.lit(1.0)))).otherwise(raw)).cast("bigint").alias("authors"))
 
 
-def author_sketches(events: DataFrame, references: dict[int, str] = REFERENCES) -> DataFrame:
-    """Rows (kind, ref, n, sketch): for each kind, what each value of its reference tag was named by."""
+def _named(events: DataFrame, references: dict[int, str]) -> DataFrame:
+    """Rows (id, kind, pubkey, ref): each event once with each value of its kind's reference tag, null for a tag without one."""
     kinds = events.where(F.col("kind").isin(*references))
     key = F.create_map(*[x for k, v in references.items() for x in (F.lit(k), F.lit(v))])
     named = kinds.select("id", "kind", "pubkey", F.explode("tags").alias("t"), key[F.col("kind")].alias("k"))
-    refs = named.where(F.get("t", F.lit(0)) == F.col("k")).select("id", "kind", "pubkey", F.get("t", F.lit(1)).alias("ref")).where("ref is not null").distinct()
+    return named.where(F.get("t", F.lit(0)) == F.col("k")).select("id", "kind", "pubkey", F.get("t", F.lit(1)).alias("ref")).distinct()
+
+
+def author_sketches(events: DataFrame, references: dict[int, str] = REFERENCES) -> DataFrame:
+    """Rows (kind, ref, n, sketch): for each kind, what each value of its reference tag was named by."""
+    refs = _named(events, references).where("ref is not null")
     return refs.groupBy("kind", "ref").agg(F.count(F.lit(1)).alias("n"), F.hll_sketch_agg("pubkey").alias("sketch"))
 
 
+def author_sets(events: DataFrame, references: dict[int, str] = REFERENCES) -> DataFrame:
+    """Rows (kind, ref, pubkey, n): what a sketch estimates, kept exactly; a row for each author of a reference, also of a null one."""
+    return _named(events, references).groupBy("kind", "ref", "pubkey").agg(F.count(F.lit(1)).alias("n"))
+
+
 def merge_sketches(*caches: DataFrame) -> DataFrame:
     """One cache of several, whose events must be disjoint for ``n`` to be exact."""
     rows = caches[0]
@@ -66,6 +76,14 @@ def merge_sketches(*caches: DataFrame) -> DataFrame:
     return rows.groupBy("kind", "ref").agg(F.sum("n").alias("n"), F.hll_union_agg("sketch").alias("sketch"))
 
 
+def merge_sets(*caches: DataFrame) -> DataFrame:
+    """Rows (kind, ref, n, authors), exactly counted over several caches, whose events must be disjoint."""
+    rows = caches[0]
+    for cache in caches[1:]:
+        rows = rows.unionByName(cache)
+    return rows.groupBy("kind", "ref").agg(F.sum("n").alias("n"), F.countDistinct("pubkey").alias("authors"))
+
+
 def read_sketches(cache: DataFrame, kind: int, ref: str) -> DataFrame:
     return cache.where((F.col("kind") == kind) & (F.col("ref") == ref)).select("n", F.hll_sketch_estimate("sketch").alias("authors"))
 
