@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 
 def tokens(text: Column) -> Column:
@@ -21,7 +19,7 @@ def tokenise(text: str) -> list[str]:
     return list(dict.fromkeys(out))
 
 
-@F.pandas_udf(StringType())
-def nfkc(text: pd.Series) -> pd.Series:
-    """Compatibility normal form, for which Spark has no built-in function."""
-    return text.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
+def nfkc(text: Column | str) -> Column:
+    """Compatibility normal form, by the ICU that Spark has for its collations: row by row, so that nothing is held in Python."""
+    text = F.col(text) if isinstance(text, str) else text
+    return F.when(text.isNotNull(), F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True)))
