@@ -70,3 +70,22 @@ def test_authors_by_reference_are_counted_exactly(spark, tmp_path):
     rows = [(k, T0 + timedelta(seconds=k), k % 3000, ("signup", "click")[k % 2], 0.0, f'{{"k": {k % 7}}}') for k in range(100, 9000)]
     against_sql(spark, tmp_path / "many", "hll_cache_by_ref", rows)
     against_sql(spark, tmp_path / "odd", "hll_cache_by_ref", ODD)
+
+
+@pytest.mark.parametrize("name", ["tag_index", "tag_index_lookup"])
+def test_tags_of_odd_events(spark, tmp_path, name):
+    against_sql(spark, tmp_path, name, ODD)
+
+
+def test_the_tag_table_moves_each_event_once(spark):
+    from tidemark.functions.tags import tag_table
+    from tidemark.model import EVENT_SCHEMA
+
+    from .test_conformance import event
+
+    rows = [event(k, k % 9, k, 1, [("t", str(k % 5)), ("e", str(k)), ("t", str(k % 5)), ("long", "x"), ("z",), ("p", "v" * 101), ()]) for k in range(500)] + [event(900, 1, 1, 1, [("long", "x")])]
+    again = [(*e[:4], [["d", "y"]], *e[5:]) for e in rows[:50]]  # the same events with another tag
+    df = tag_table(spark.createDataFrame(rows + rows[:100] + again, EVENT_SCHEMA))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hash") == 1 and plan.index("explode(tags") < plan.index("Exchange hash")
+    assert sorted((r.id, r.k, r.v) for r in df.collect()) == sorted({(e[0], t[0], t[1]) for e in rows + again for t in e[4] if len(t) > 1 and t[0] in "ted" and len(t[1]) <= 100})
